@@ -26,3 +26,29 @@ WITH RECURSIVE sets AS (
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM sets JOIN least ON doc_id = u
 """
+
+DECONTAMINATION = f"""
+WITH sets AS (
+  SELECT doc_id, {_shingles(5)} AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)
+), item_sets AS (
+  SELECT item_id, {_shingles(5)} AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)
+), words AS (
+  SELECT DISTINCT doc_id, unnest(s) AS x FROM sets
+), items AS (
+  SELECT item_id, len(s) AS n, unnest(s) AS x FROM item_sets
+)
+SELECT doc_id, item_id, n AS item_shingles, count(*) AS shared, CAST(count(*) AS DOUBLE) / n AS containment
+FROM words JOIN items USING (x) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n
+"""
+
+WARC = """
+WITH payloads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM payloads
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM firsts
+"""
