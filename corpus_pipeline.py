@@ -1,12 +1,73 @@
-"""Stages that turn raw documents into a sharded training mix."""
+"""Five stages that turn raw documents into a sharded training mix.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+it as Parquet to the shared folder and reads it back as the next one's docs.
+All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillrank.llm.decontamination import contained_items
+from quillrank.llm.mixing import entropy_mix
+from quillrank.llm.near_dedup import near_duplicates
+from quillrank.llm.quality import fit_quality, keep_quality
+from quillrank.llm.sharding import shard_documents
+from quillrank.llm.storage import stored
 
-STAGES: list = []
+#: Up to so many ids of dropped or mixed documents are broadcast.
+BROADCAST_IDS = 500_000
+#: No SQL expresses the trained classifier.
 ORACLE_SQL = None
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the listed ids; null ids stay."""
+    dropped = stored(ids.select(F.col(ids.columns[0]).cast("long").alias("__dropped")).distinct(), "dropped")
+    few = dropped.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(dropped) if few else dropped, docs["doc_id"] == F.col("__dropped"), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the given labels, accepts."""
+    return keep_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, of the smallest id, of each group of near duplicates."""
+    return _without(docs, near_duplicates(docs).where("not kept").select("doc_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return _without(docs, contained_items(docs, _table(spark, sf_dir, "benchmark")).select("doc_id"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the target mix takes it."""
+    mix = entropy_mix(docs).select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies")).where("__copies > 0").groupBy("__id").agg(F.max("__copies").alias("__copies"))
+    taken = docs.join(mix, docs["doc_id"].eqNullSafe(F.col("__id")))
+    repeated = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document of the mix."""
+    return shard_documents(docs)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the whole documents table."""
+    docs = _table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs
