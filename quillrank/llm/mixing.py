@@ -19,7 +19,7 @@ from .storage import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, CAP = (3.0, 1.0, 2.0), 1.5, 2.0
-NEWTON_STEPS = 64
+NEWTON_STEPS, LAMBDA_LIMIT = 64, 40.0
 BINS = 2048
 #: Up to so many sources their table is broadcast; beyond, it is shuffled.
 BROADCAST_SOURCES = 50_000
@@ -51,7 +51,11 @@ def water_level(sources: DataFrame, share: float, cap: float) -> DataFrame:
 
 
 def _tilt(cells: Column, target: Column, cap: float) -> Column:
-    """lambda of one source from its (base, words) cells, by Newton steps."""
+    """lambda of one source from its (base, words) cells.
+
+    Newton steps within a shrinking bracket, halved where a step leaves it (as
+    it may where many rates are at the cap).
+    """
     zero = F.lit(0.0)
 
     def total(lam: Column, free: bool) -> Column:
@@ -61,12 +65,15 @@ def _tilt(cells: Column, target: Column, cap: float) -> Column:
 
         return F.aggregate(cells, zero, add)
 
-    def step(lam: Column, _: Column) -> Column:
-        slope = total(lam, True)
-        move = (total(lam, False) - target) / F.when(slope > 0, slope).otherwise(F.lit(1.0))
-        return lam - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), move))
+    def step(at: Column, _: Column) -> Column:
+        lam, above, slope = at["lam"], total(at["lam"], False) - target, total(at["lam"], True)
+        low, high = F.when(above > 0, at["low"]).otherwise(lam), F.when(above > 0, lam).otherwise(at["high"])
+        newton = lam - F.try_divide(above, slope)
+        inside = (newton > low) & (newton < high)
+        return F.struct(low.alias("low"), high.alias("high"), F.when(inside, newton).otherwise((low + high) / 2).alias("lam"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), zero, step)
+    start = F.struct(F.lit(-LAMBDA_LIMIT).alias("low"), F.lit(LAMBDA_LIMIT).alias("high"), zero.alias("lam"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), start, step)["lam"]
 
 
 def _with_sources(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
