@@ -9,7 +9,8 @@ are dropped without looking at the sets; every link is confirmed on full sets.
 Work per group of alike texts stays linear: equal sets collapse first; every
 band bucket then compares its members with one pivot, the member that meets
 most others over all buckets; only what the links found so far leave apart in
-one bucket is compared directly, and only where the sketches agree.
+one bucket is compared directly, and only where neither the sketches nor the
+numbers of shingles that others share rule a link out.
 """
 
 from __future__ import annotations
@@ -106,18 +107,44 @@ def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(_sketch_bits("sketch_a", "sketch_b") <= SKETCH_LIMIT).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of ``pairs(a, b)``, those that reach the similarity on full shingle sets."""
-    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+def _sets_of(ids: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """``(doc_id, shingles)`` of the listed ``id``, each once."""
+    ids = stored(ids, "ids")
     few = ids.count() <= BROADCAST_IDS
     wanted = texts.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = stored(wanted.mapInArrow(_sets(n), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+    return stored(wanted.mapInArrow(_sets(n), "doc_id long, shingles array<long>").dropDuplicates(["doc_id"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs(a, b)``, those that reach the similarity on full shingle sets."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
     return both.where(F.col("shared") * 100 >= percent * (F.size("x") + F.size("y") - F.col("shared"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def _apart(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``rest(key, rep, component, main, sketch)`` that may still link.
+
+    Both lie in one bucket, in different components, not both in its main one.
+    Shingles that only one of all these sets has cannot be shared, so a pair
+    shares at most the smaller number of others; with both sizes that bounds
+    the similarity exactly, before any set is compared.
+    """
+    lone = sets.select(F.col("doc_id"), F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("doc_id").alias("only")).where("c = 1").groupBy("only").agg(F.count("*").alias("lone"))
+    sizes = sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n")).join(lone, F.col("rep") == F.col("only"), "left").select("rep", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("m"))
+    known = stored(rest.join(sizes, "rep"), "open")
+    other = known.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "sketch", "n", "m")])
+    most = F.least("m", "m_b")
+    bound = most * 100 >= percent * (F.col("n") + F.col("n_b") - most)
+    met = known.where("component <> main").join(other, "key").where((F.col("component") != F.col("component_b")) & bound & (_sketch_bits("sketch", "sketch_b") <= SKETCH_LIMIT))
+    return met.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Classes of near-duplicate documents.
 
@@ -148,16 +175,17 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     best = live.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("less"))).alias("best"))
     pivots = best.select("key", (-F.col("best.less")).alias("pivot"))
     star = live.join(pivots, "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = stored(_confirmed(stored(_alike(star, sketches), "pairs"), texts, n, percent), "links")
+    star = stored(_alike(star, sketches), "pairs")
+    links = stored(_confirmed(star, _sets_of(_ids(star), texts, n), percent), "links")
 
-    found = connected(links)
+    found = stored(connected(links), "components")
     placed = live.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    mains = pivots.join(found.withColumnRenamed("node", "pivot"), "pivot", "left").select("key", "pivot", F.coalesce("component", "pivot").alias("main"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = stored(placed.join(open_keys, "key").join(pivots, "key").where("rep <> pivot").join(sketches, "rep").select("key", "rep", "component", "sketch"), "open")
-    other = rest.select("key", F.col("rep").alias("rep_b"), F.col("component").alias("component_b"), F.col("sketch").alias("sketch_b"))
-    apart = rest.join(other, "key").where((F.col("component") < F.col("component_b")) & (_sketch_bits("sketch", "sketch_b") <= SKETCH_LIMIT))
-    late = stored(apart.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct(), "pairs")
-    more = _confirmed(late, texts, n, percent)
+    rest = stored(placed.join(open_keys, "key").join(mains, "key").where("rep <> pivot").join(sketches, "rep").select("key", "rep", "component", "main", "sketch"), "rest")
+    sets = _sets_of(rest.select(F.col("rep").alias("id")).distinct(), texts, n)
+    late = stored(_apart(rest, sets, percent), "pairs")
+    more = _confirmed(late, sets, percent)
     final = connected(links.union(more)).select(F.col("node").alias("rep"), "component")
 
     homes = classes.select("k0", "k1", "rep").join(final, "rep", "left").select("k0", "k1", F.coalesce("component", "rep").alias("home"))
