@@ -24,7 +24,7 @@ from .words import Words, chunks, mixed
 #: Labelled rows of each class that a fit uses at most, and the longest text
 #: (bytes) among them, which bounds what the driver holds.
 FIT_ROWS, FIT_BYTES = 800, 20_000
-WINDOW, STRIDE, HIDDEN, CHARS, WORDS_DIM = 32, 16, 8, 8, 4
+WINDOW, STRIDE, HIDDEN, CHARS, WORDS_DIM = 32, 24, 8, 8, 4
 GRAMS, BUCKETS = 1 << 15, 1 << 14
 EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.01, 1e-3
 #: Texts that count for a bucket before it is seen, shared by both classes.
