@@ -12,6 +12,7 @@ from .mixing import entropy_mix
 from .near_dedup import near_duplicates
 from .quality import fit_quality, quality_scores
 from .sharding import shard_documents
+from .substring_dedup import repeated_passages
 from .token_counts import token_counts
 from .toxicity import fit_toxicity, toxicity_scores
 from .warc import archive_folder, read_archives, write_archives
@@ -32,6 +33,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of at least 50 words that repeat across documents."""
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle fingerprints of every document and of its edited text."""
     return fingerprint_edits(_table(spark, sf_dir, "documents"))
@@ -73,6 +79,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_fingerprints": op4_fingerprints,
     "op5_warc": op5_warc,
     "op6_sharding": op6_sharding,
