@@ -1,0 +1 @@
+"""Ranked text retrieval and its evaluation on Spark DataFrames."""
