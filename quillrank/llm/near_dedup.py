@@ -10,7 +10,7 @@ Work per group of alike texts stays linear: equal sets collapse first; every
 band bucket then compares its members with one pivot, the member that meets
 most others over all buckets; only what the links found so far leave apart in
 one bucket is compared directly, and only where neither the sketches nor the
-numbers of shingles that others share rule a link out.
+numbers of frequent shingles rule a link out.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ SKETCH_WORDS = 8
 #: Most differing sketch bits of a candidate: 63 are expected at similarity
 #: 0.8 with a deviation of about 8.5; 114 is six deviations above.
 SKETCH_LIMIT = 114
+#: Sets that have a rare shingle, at most.
+RARE = 16
 #: So many ids are broadcast at most; beyond, the texts are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -130,19 +132,29 @@ def _ids(pairs: DataFrame) -> DataFrame:
 def _apart(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of ``rest(key, rep, component, main, sketch)`` that may still link.
 
-    Both lie in one bucket, in different components, not both in its main one.
-    Shingles that only one of all these sets has cannot be shared, so a pair
-    shares at most the smaller number of others; with both sizes that bounds
-    the similarity exactly, before any set is compared.
+    Shingles that at most ``RARE`` of all these sets have are rare. Pairs that
+    share one are few and listed outright. Others share frequent shingles
+    only, at most the smaller number of those; with both sizes that bounds the
+    similarity exactly, so pairs of one bucket (in different components, not
+    both in its main one) are listed where the bound and the sketches allow.
     """
-    lone = sets.select(F.col("doc_id"), F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("doc_id").alias("only")).where("c = 1").groupBy("only").agg(F.count("*").alias("lone"))
-    sizes = sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n")).join(lone, F.col("rep") == F.col("only"), "left").select("rep", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("m"))
-    known = stored(rest.join(sizes, "rep"), "open")
+    each = sets.select(F.col("doc_id").alias("rep"), F.explode("shingles").alias("s"))
+    rare = stored(each.join(each.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") <= RARE), "s").select("rep", "s", "c"), "rare")
+    sizes = sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n")).join(rare.groupBy("rep").agg(F.count("*").alias("r")), "rep", "left")
+    known = stored(rest.join(sizes.select("rep", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("m")), "rep"), "open")
+
     other = known.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "sketch", "n", "m")])
     most = F.least("m", "m_b")
     bound = most * 100 >= percent * (F.col("n") + F.col("n_b") - most)
-    met = known.where("component <> main").join(other, "key").where((F.col("component") != F.col("component_b")) & bound & (_sketch_bits("sketch", "sketch_b") <= SKETCH_LIMIT))
-    return met.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
+    near = (F.col("component") != F.col("component_b")) & (_sketch_bits("sketch", "sketch_b") <= SKETCH_LIMIT)
+    met = known.where("component <> main").join(other, "key").where(bound & near)
+
+    told = known.groupBy("rep").agg(F.first("component").alias("component"), F.first("sketch").alias("sketch"))
+    a = rare.where("c > 1").select("s", "rep")
+    sharing = a.join(a.select("s", F.col("rep").alias("rep_b")), "s").where("rep < rep_b").select("rep", "rep_b").distinct()
+    listed = sharing.join(told, "rep").join(told.select(*[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "sketch")]), "rep_b").where(near)
+    both = met.select("rep", "rep_b").union(listed.select("rep", "rep_b"))
+    return both.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
