@@ -58,7 +58,7 @@ def parsed_score(text: Column) -> Column:
     field = F.try_element_at(F.from_json(text, "map<string,string>"), F.lit("score")).try_cast("double").cast("int")
     found = F.regexp_extract(text, r"-?\d+", 0)
     number = F.coalesce(field, F.when(found != "", found.try_cast("int")))
-    return F.greatest(F.lit(0), F.least(F.lit(100), number))
+    return F.when(number.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(100), number)))
 
 
 def parsed_winner(text: Column) -> Column:

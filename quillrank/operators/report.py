@@ -62,8 +62,7 @@ def branch_report(metrics: DataFrame, issues: DataFrame | None = None) -> DataFr
     })
     if issues is None:
         return out
-    text = F.explode("texts")
-    told = issues.select("branch", F.lower(text).alias("t")).groupBy("branch").agg(F.bool_or(F.contains("t", F.lit("accept"))).alias("yes"), F.bool_or(F.contains("t", F.lit("reject"))).alias("no"))
+    told = issues.select("branch", F.explode("texts").alias("t")).withColumn("t", F.lower("t")).groupBy("branch").agg(F.bool_or(F.contains("t", F.lit("accept"))).alias("yes"), F.bool_or(F.contains("t", F.lit("reject"))).alias("no"))
     decided = told.select("branch", F.when(F.col("yes"), "accepted").when(F.col("no"), "rejected").otherwise("pending").alias("decision"))
     return out.join(decided, "branch", "left").withColumn("decision", F.coalesce("decision", F.lit("unknown")))
 

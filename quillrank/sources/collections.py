@@ -34,7 +34,7 @@ def read_collection(spark: SparkSession, path: str) -> DataFrame:
     A record runs from one ``<DOC>`` to the next; what a file holds before its
     first is dropped. Ordinals count from 0 over files in path order.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "<DOC>", -1)).alias("n", "text"))
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "<DOC>", -1)).alias("n", "text"))
     records = files.where("n > 0")
     counts = records.groupBy("path").agg(F.count("*").alias("docs"))
     before = counts.withColumn("before", F.coalesce(F.sum("docs").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -10,7 +10,7 @@ from ..functions.text import topic_id, topic_words, whitespace_parts
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:
     """``topic_id, text, words, line_no``: a leading integer is the id, else the line's number; blank lines are skipped."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
     numbered = lines.where(F.trim("text") != "").withColumn("line_no", F.col("line").cast("long") + 1)
     return numbered.select(topic_id(F.col("text"), F.col("line_no")).alias("topic_id"), "text", topic_words(F.col("text")).alias("words"), "line_no")
 
