@@ -99,7 +99,7 @@ class _Writer:
             self.uri = f"{self.folder}/{uuid.uuid4().hex}.warc.zst"
             system, path = _store(self.uri)
             system.create_dir(path.rpartition("/")[0], recursive=True)
-            self.out, self.records = system.open_output_stream(path), 0
+            self.out, self.records = system.open_output_stream(path, compression=None), 0
             info = b"software: quillrank\r\nformat: WARC File Format 1.1\r\n"
             fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None, self.uri)), ("WARC-Date", self.date), ("Content-Type", "application/warc-fields"), ("Content-Length", len(info))]
             self.out.write(leading_frame(self.dictionary) + self.compress(_header(fields) + info + b"\r\n\r\n"))
@@ -161,7 +161,7 @@ def _read(with_payload: bool):
             for uri in batch.column("archive").to_pylist():
                 system, path = _store(uri)
                 rows, size = [], 0
-                with system.open_input_stream(path) as stream:
+                with system.open_input_stream(path, compression=None) as stream:
                     for _, raw in frames(stream):
                         fields, block = parse_record(raw)
                         kind = fields["WARC-Type"]

@@ -96,7 +96,7 @@ class Words:
             return np.empty(0, np.uint64), many
         first, m = self.first[:-1], len(w)
         total = np.zeros(m, np.uint64)
-        for k in range(n):
+        for k in range(min(n, m)):
             total[: m - k] += w[k:] * _STEP[k]
         keep = np.zeros(m + 1, np.int64)
         full = counts >= n
