@@ -25,6 +25,8 @@ from .words import Words, chunks
 FIT_ROWS = 6000
 FEATURES, BANDWIDTH, RIDGE, SUM_PARTITIONS = 256, 3.0, 1.0, 8
 THRESHOLD = 0.3
+#: Share of the ridge score itself, which orders rows within an isotonic step.
+BLEND = 0.02
 
 _CLASS = np.zeros(256, np.int64)  # 0 other, then space, line end, lower, upper, digit, beyond ASCII
 _CLASS[[32, 9, 11, 12, 13]] = 1
@@ -89,19 +91,23 @@ class QualityModel:
     def scores(self, stats: np.ndarray) -> np.ndarray:
         if not len(self.weights):
             return np.full(len(stats), float(self.steps[1][0]))
-        return np.interp(self.mapped(stats) @ self.weights, *self.steps)
+        raw = self.mapped(stats) @ self.weights
+        return (1 - BLEND) * np.interp(raw, *self.steps) + BLEND * np.clip(raw, 0, 1)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the non-decreasing fit of y on x (pool adjacent violators)."""
-    blocks: list[list[float]] = []  # sum of y, rows, sum of x
+    """Knots of the non-decreasing fit of y on x (pool adjacent violators).
+
+    A pooled block is level from its smallest to its largest x.
+    """
+    blocks: list[list[float]] = []  # sum of y, rows, smallest x, largest x
     for a, b in sorted(zip(x.tolist(), y.tolist(), strict=True)):
-        blocks.append([b, 1, a])
+        blocks.append([b, 1, a, a])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
-            blocks[-1] = [p + q for p, q in zip(blocks[-1], last, strict=True)]
-    at = np.array([b[2] / b[1] for b in blocks])
-    return at, np.array([(b[0] + 0.01) / (b[1] + 0.02) for b in blocks])
+            blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3]]
+    level = np.array([(b[0] + 0.01) / (b[1] + 0.02) for b in blocks])
+    return np.array([e for b in blocks for e in b[2:]]), np.repeat(level, 2)
 
 
 def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
