@@ -1,6 +1,8 @@
 """BM25, feedback expansion and passage reranking of many topics in one plan.
 
-Scores are ranked at nine decimals, ties by the higher ordinal, so that the
+What a plan reads twice (base scores, expansion terms, a ranking's prefix) is
+kept by the executors, recomputed if one is lost, until the session's cache
+is cleared. Scores are ranked at nine decimals, ties by the higher ordinal, so that the
 order of a distributed sum cannot change a ranking.
 """
 
@@ -84,9 +86,9 @@ def gated(topics: DataFrame, ranking: Ranking) -> DataFrame:
 def rank_feedback(index: Index, topics: DataFrame, ranking: Ranking = Ranking()) -> DataFrame:
     """BM25 plus expansion terms; or by those alone, where there are any."""
     terms = query_terms(topics)
-    base = rank_bm25(index, terms, ranking)
+    base = rank_bm25(index, terms, ranking).persist()
     fed = base.join(gated(topics, ranking), "topic_id", "left_semi")
-    more = expansion_terms(index, terms, fed, ranking)
+    more = expansion_terms(index, terms, fed, ranking).persist()  # expansion_terms a topic at most
     extra = rank_bm25(index, more, ranking)
     if ranking.expansion_only:
         return extra.unionByName(base.join(more.select("topic_id").distinct(), "topic_id", "left_anti"))
@@ -130,7 +132,7 @@ def rerank_passages(index: Index, terms: DataFrame, scores: DataFrame, ranking:
     """
     if not (ranking.rerank_docs and ranking.rerank_window and ranking.rerank_weight):
         return top(scores, ranking.results)
-    placed = top(scores, max(ranking.results, ranking.rerank_docs)).withColumn("prefix", (F.col("rank") <= ranking.rerank_docs))
+    placed = top(scores, max(ranking.results, ranking.rerank_docs)).withColumn("prefix", F.col("rank") <= ranking.rerank_docs).persist()  # that many rows a topic at most
     passages = passage_scores(index, terms, placed.where(F.col("rank") <= ranking.rerank_docs), ranking)
     scored = placed.join(passages, ["topic_id", "doc_ord"], "left").withColumn("score", F.col("score") + F.when(F.col("prefix"), F.coalesce("passage", F.lit(0.0)) * ranking.rerank_weight).otherwise(0.0))
     order = Window.partitionBy("topic_id").orderBy(F.desc("prefix"), F.round("score", 9).desc(), F.desc("doc_ord"))
