@@ -205,8 +205,10 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
     roles = keyed.join(firsts, F.col("digest") == F.col("d"), "left")
     revisit = F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     rows = roles.select("page_id", "url", "html", "digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
-    sample = keyed.where("size > 0").select("digest", F.substring("html", 1, SAMPLE_BYTES).alias("head")).orderBy("digest").limit(SAMPLE_RECORDS)
-    dictionary = train_dictionary([r["head"].encode() for r in sample.collect()])
+    there = keyed.where("size > 0")
+    chosen = [r["digest"] for r in there.select("digest").distinct().orderBy("digest").limit(SAMPLE_RECORDS).collect()]
+    heads = there.where(F.col("digest").isin(chosen)).groupBy("digest").agg(F.first(F.substring("html", 1, SAMPLE_BYTES)).alias("head")).orderBy("digest")
+    dictionary = train_dictionary([r["head"].encode() for r in heads.collect()])  # SAMPLE_RECORDS rows at most
     return stored(rows.mapInArrow(_write(folder, dictionary, date), "archive string, records long, bytes long"), "archives")
 
 
