@@ -119,6 +119,32 @@ def test_repeated_passages(docs):
         assert abs(len(a & b) / len(a | b) - r["similarity"]) < 1e-9 and r["similarity"] >= 0.8
 
 
+def covered(rows, doc, low, high):
+    """Words of [low, high) that the rows of ``doc`` cover, over the length."""
+    seen = set()
+    for start, n in rows[doc]:
+        seen |= set(range(start, start + n))
+    return len(seen & set(range(low, high))) / (high - low)
+
+
+def passages_of(spark, texts):
+    rows = defaultdict(list)
+    for r in substring_dedup.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect():
+        rows[r["doc_id"]].append((r["start_word"], r["n_words"]))
+    return rows
+
+
+def test_passage_behind_an_earlier_fragment(spark):
+    """The pivot holds 40 of the passage's 50 words first and the whole passage later."""
+    texts = []
+    for k in range(150):
+        p, w = words(50, f"p{k}"), [words(60, f"{x}{k}") for x in "abcde"]
+        texts.append((2 * k, " ".join(w[0] + p[5:45] + w[1] + p + w[2])))
+        texts.append((2 * k + 1, " ".join(w[3] + p + w[4])))
+    rows = passages_of(spark, texts)
+    assert [k for k in range(150) if covered(rows, 2 * k + 1, 60, 110) < 0.9 or covered(rows, 2 * k, 160, 210) < 0.9] == []
+
+
 def test_fingerprints(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 8)
     rows = sorted(fingerprints.fingerprint_edits(docs).collect(), key=lambda r: r["doc_id"])
