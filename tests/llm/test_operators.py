@@ -145,6 +145,21 @@ def test_passage_behind_an_earlier_fragment(spark):
     assert [k for k in range(150) if covered(rows, 2 * k + 1, 60, 110) < 0.9 or covered(rows, 2 * k, 160, 210) < 0.9] == []
 
 
+def test_exact_passage_beside_drifted_variants(spark):
+    """Variants of smaller id, two edits in 50 words each, do not hide an exact passage."""
+    texts = []
+    for k in range(150):
+        p, rng = words(50, f"q{k}"), random.Random(k)
+        for v in range(5):
+            own = list(p)
+            if v < 3:
+                for at, low in ((rng.randrange(8, 20), 0), (rng.randrange(30, 42), 1)):
+                    own[at] = f"edit{v}x{low}"
+            texts.append((5 * k + v, " ".join(words(60, f"l{k}x{v}") + own + words(60, f"r{k}x{v}"))))
+    rows = passages_of(spark, texts)
+    assert [k for k in range(150) if min(covered(rows, 5 * k + v, 60, 110) for v in (3, 4)) < 1] == []
+
+
 def test_fingerprints(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 8)
     rows = sorted(fingerprints.fingerprint_edits(docs).collect(), key=lambda r: r["doc_id"])
