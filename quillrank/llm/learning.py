@@ -11,13 +11,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def _learnable(labels: DataFrame, column: str) -> DataFrame:
+    usable = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    return usable.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(column).cast("int").alias("y"))
+
+
+def class_counts(labels: DataFrame, column: str) -> dict[int, int]:
+    """Learnable labels of each class, those beyond a sample's bound too."""
+    return {r["y"]: r["count"] for r in _learnable(labels, column).groupBy("y").count().collect()}
+
+
 def sample_labels(labels: DataFrame, column: str, rows: int) -> DataFrame:
     """At most ``rows`` learnable labels of each class, by hash of the id.
 
     ``labels`` needs ``doc_id`` and ``column`` (0 or 1; others and nulls are
     left out). An id with both labels counts as 1. Returns ``id``, ``y``.
     """
-    usable = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    each = usable.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(column).cast("int").alias("y"))
+    each = _learnable(labels, column)
     mixed = F.xxhash64("id", F.lit(17))
     return each.where("y = 1").orderBy(mixed, "id").limit(rows).union(each.where("y = 0").orderBy(mixed, "id").limit(rows))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learning import held_out, sample_labels
+from .learning import class_counts, held_out, sample_labels
 from .storage import stored
 from .words import Words, chunks
 
@@ -95,14 +95,16 @@ class QualityModel:
         return (1 - BLEND) * np.interp(raw, *self.steps) + BLEND * np.clip(raw, 0, 1)
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing fit of y on x (pool adjacent violators).
 
-    A pooled block is level from its smallest to its largest x.
+    A pooled block is level from its smallest to its largest x; rows count
+    ``weight`` times (once without it).
     """
-    blocks: list[list[float]] = []  # sum of y, rows, smallest x, largest x
-    for a, b in sorted(zip(x.tolist(), y.tolist(), strict=True)):
-        blocks.append([b, 1, a, a])
+    blocks: list[list[float]] = []  # weighted sum of y, weight, smallest x, largest x
+    many = np.ones(len(x)) if weight is None else weight
+    for a, b, w in sorted(zip(x.tolist(), y.tolist(), many.tolist(), strict=True)):
+        blocks.append([b * w, w, a, a])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3]]
@@ -116,33 +118,39 @@ def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("y"), part.column("fold"), pa.array(list(statistics(part.column("text"))), pa.list_(pa.float64()))], names=["y", "fold", "stats"])
 
 
-def _sums(model: QualityModel | None):
-    """Per partition: moments of the statistics, or the normal equations."""
+def _sums(model: QualityModel | None, weights: np.ndarray):
+    """Per partition: moments of the statistics, or the normal equations.
+
+    A row of class y counts ``weights[y]`` times.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0
         for batch in batches:
             x = np.array(batch.column("stats").to_pylist(), float)
+            y = batch.column("y").to_numpy()
+            w = weights[y][:, None]
             if len(x) and model is None:
-                total = total + np.stack([np.full(x.shape[1], float(len(x))), x.sum(0), (x**2).sum(0)])
+                total = total + np.stack([np.full(x.shape[1], w.sum()), (w * x).sum(0), (w * x**2).sum(0)])
             elif len(x):
-                z, y = model.mapped(x), batch.column("y").to_numpy().astype(float)
-                total = total + np.hstack([z.T @ z, (z.T @ y)[:, None]])
+                z = model.mapped(x)
+                total = total + np.hstack([z.T @ (w * z), (w * z).T @ y[:, None].astype(float)])
         if isinstance(total, np.ndarray):
             yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["sums"])
 
     return run
 
 
-def _total(rows: DataFrame, model: QualityModel | None) -> np.ndarray | None:
-    parts = rows.mapInArrow(_sums(model), "sums array<double>").collect()  # SUM_PARTITIONS rows at most
+def _total(rows: DataFrame, model: QualityModel | None, weights: np.ndarray) -> np.ndarray | None:
+    parts = rows.mapInArrow(_sums(model, weights), "sums array<double>").collect()  # SUM_PARTITIONS rows at most
     return sum(np.array(p["sums"]) for p in parts) if parts else None
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> QualityModel:
     """Fit on at most ``rows`` labelled documents of each class.
 
-    Rows held out by id are never used. With labels of one class or none the
+    Where a class has more, its rows weigh as much as all its labels do, so
+    that scores follow the labels' shares. Rows held out by id are never used. With labels of one class or none the
     score is constant (that class's, or 0.5).
     """
     sample = F.broadcast(sample_labels(labels, "quality", rows))
@@ -153,17 +161,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Qua
     classes = {r["y"]: r["count"] for r in data.where("fold <> 0").groupBy("y").count().collect()}
     if len(classes) < 2:
         return QualityModel(*[np.empty(0)] * 5, steps=(np.zeros(1), np.array([float(next(iter(classes), 0.5))])))
-    n, total, square = _total(data, None).reshape(3, -1)
+    known = class_counts(labels, "quality")
+    real = np.array([known[k] / min(known[k], rows) for k in (0, 1)])
+    weights = real * sum(min(known[k], rows) for k in (0, 1)) / sum(known[k] for k in (0, 1))
+    n, total, square = _total(data, None, weights).reshape(3, -1)
     rng = np.random.Generator(np.random.PCG64(11))
     width = len(n)
     waves, phases = rng.normal(size=(width, FEATURES)) / BANDWIDTH, rng.uniform(0, 2 * np.pi, FEATURES)
     model = QualityModel(total / n, np.sqrt(np.maximum(square / n - (total / n) ** 2, 1e-9)), waves, phases, np.empty(0), (np.zeros(1), np.zeros(1)))
-    equations = _total(data.where("fold <> 0"), model).reshape(FEATURES + 1, FEATURES + 2)
+    equations = _total(data.where("fold <> 0"), model, weights).reshape(FEATURES + 1, FEATURES + 2)
     model.weights = np.linalg.solve(equations[:, :-1] + RIDGE * np.eye(FEATURES + 1), equations[:, -1])
     back = data.where("fold = 0").select("y", "stats").collect()  # a quarter of the bounded sample
     if len({r["y"] for r in back}) < 2:
         back = data.select("y", "stats").collect()
-    model.steps = isotonic(model.mapped(np.array([r["stats"] for r in back])) @ model.weights, np.array([r["y"] for r in back], float))
+    y = np.array([r["y"] for r in back])
+    model.steps = isotonic(model.mapped(np.array([r["stats"] for r in back])) @ model.weights, y.astype(float), weights[y])
     return model
 
 

@@ -291,3 +291,16 @@ def test_quality(spark):
     constant = quality.fit_quality(docs, labelled.limit(0))
     assert {r["score"] for r in quality.quality_scores(docs.limit(3), constant).collect()} == {0.5}
     assert toxicity.toxicity_scores(docs.limit(3), toxicity.fit_toxicity(docs, labelled)).count() == 3
+
+
+def test_quality_keeps_labels_shares_above_the_bound(spark):
+    """Texts that tell nothing of their class score the labels' share, bounded or not."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(words(rng.randrange(20, 60), f"t{i}"))) for i in range(1600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, int(i % 8 != 0)) for i, _ in rows], "doc_id long, quality int")
+    means = []
+    for bound in (6000, 120):
+        model = quality.fit_quality(docs, labelled, rows=bound)
+        means.append(quality.quality_scores(docs, model).agg(F.avg("score")).first()[0])
+    assert means[0] == pytest.approx(0.875, abs=0.04) and means[1] == pytest.approx(0.875, abs=0.04)
