@@ -28,6 +28,8 @@ RANKING = Ranking()
 PAGE_FIELDS = Fields(ignored=("script", "style"), boosted="title", key=None, by_name=True)
 TWO = [Source("bm25", 0.6, 250), Source("rm3", 0.4, 250)]
 TRI = [Source("bm25", 0.05, 250), Source("rm3", 0.55, 250), Source("rm3exp", 0.40, 250)]
+#: Queries per pass of the registered search: several passes on the larger tables.
+DENSE_BLOCK = 32
 SHALLOW = [Source("bm25", 0.6, 20), Source("rm3", 0.4, 20)]
 
 
@@ -179,6 +181,13 @@ def dense_topk(spark, d):
     return _published(nearest(vectors, asked, 100))
 
 
+def dense_every_20th(spark, d):
+    """The whole query set: every row whose id is divisible by 20, in blocks of queries."""
+    vectors = _vectors(spark, d)
+    asked = vectors.where("doc_ord % 20 = 0").select(F.col("doc_ord").cast("string").alias("topic_id"), "embedding")
+    return _published(nearest(vectors, asked, 1000, block=DENSE_BLOCK))
+
+
 def l2_normalize(spark, d):
     made = table(spark, d, "embeddings").select("vec_id", F.posexplode(unit(F.col("embedding"))).alias("p", "x"))
     return made.select("vec_id", F.col("p").cast("long").alias("pos"), F.round("x", 9).alias("x"))
@@ -333,7 +342,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         tokenize, normalize_terms, doc_lengths, postings, vocab_df, collection_stats, topics_parse, bm25_top1000, bm25_params, prf_terms,
-        rm3_run, rm3_expansion_only, passage_scores, passage_rerank, sparse_default, dense_topk, l2_normalize, rrf_two, rrf_tri, rrf_tail,
+        rm3_run, rm3_expansion_only, passage_scores, passage_rerank, sparse_default, dense_topk, dense_every_20th, l2_normalize, rrf_two, rrf_tri, rrf_tail,
         fusion_ablations, rewrite_eligible, rewrite_normalize, mono_rerank, duo_rerank, llm_parse, llm_usage_cost, doc_text_prefix, eval_gm_map,
         bm25_grid, passage_grid, fusion_simplex, fusion_grid, page_fields, branch_report, timing_summary, estimated_tokens, body_term_counts,
     )

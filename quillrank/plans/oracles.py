@@ -276,6 +276,8 @@ def all_sql() -> dict[str, str]:
         "sparse_default": _sql(_published("out"), {"out": _reranked("rm3_top", "passages_rm3")}),
         "dense_topk": """SELECT topic_id, doc_ord, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY round(score, 9) DESC, doc_ord) AS rank FROM (
             SELECT CAST(q.vec_id AS VARCHAR) AS topic_id, v.vec_id AS doc_ord, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 10)) WHERE rank <= 100""",
+        "dense_every_20th": """SELECT topic_id, doc_ord, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY round(score, 9) DESC, doc_ord) AS rank FROM (
+            SELECT CAST(q.vec_id AS VARCHAR) AS topic_id, v.vec_id AS doc_ord, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)) WHERE rank <= 1000""",
         "l2_normalize": """SELECT vec_id, unnest(range(len(e))) AS pos, round(unnest(e) / n, 9) AS x FROM (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings)""",
         "rrf_two": _sql(_named_out(), {"out": _fused(_TWO)}),

@@ -23,3 +23,15 @@ def test_against_sql(spark, name):
     got = catalog.queries()[name](spark, DATA)
     assert sorted(got.columns) == names
     assert sorted(map(str, (tuple(r[n] for n in names) for r in got.collect()))) == sorted(map(str, want.select(*[duckdb.ColumnExpression(n) for n in names]).fetchall()))
+
+
+@pytest.mark.parametrize("name", ["dense_every_20th"])
+def test_whole_jobs(spark, name):
+    """Queries over the whole query set or grid, against their SQL."""
+    test_against_sql(spark, name)
+
+
+def test_dense_asks_with_every_20th_row(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("vec_id % 20 = 0").count()
+    got = catalog.queries()["dense_every_20th"](spark, "/root/testdata/sf0.1")
+    assert rows > catalog.DENSE_BLOCK and got.select("topic_id").distinct().count() == rows
