@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -214,6 +215,13 @@ def fusion_ablations(spark, d):
     return out
 
 
+def fusion_ablations_whole(spark, d):
+    """The ablations over whole runs, the completed tail included."""
+    made = fusion.ablations(_runs(spark, d), TRI)
+    parts = [_named(run, 8 if name != "bm25" else 6).withColumn("name", F.lit(name)) for name, run in sorted(made.items())]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def rewrite_eligible(spark, d):
     return topics_of(spark, d).select("topic_id", neural.eligible(F.col("text")).alias("eligible"))
 
@@ -311,6 +319,25 @@ def fusion_grid(spark, d):
     return made.where("rank <= 50").select("w1", "w2", "w3", "topic_id", "doc_no", F.col("rank").cast("long").alias("rank"), F.round("score", 9).alias("score"))
 
 
+def _cells_measured(spark, d, run: DataFrame, cell: list[str]) -> DataFrame:
+    topics = evaluate.per_topic(printed(run.select(*cell, "topic_id", "doc_no", "score")), qrels_of(spark, d), cell)
+    return evaluate.overall(topics, cell).select(*[F.round(c, 6).alias(c) if c.startswith("w") and c != "window" else c for c in cell], *[F.round(c, 9).alias(c) for c in ("map", "Rprec", "P_10", "bpref", "recip_rank")])
+
+
+def passage_grid_measures(spark, d):
+    """Measures of every default cell of (docs, window, weight) over whole runs."""
+    index, terms = index_of(spark, d), sparse.query_terms(topics_of(spark, d))
+    run = tuning.passage_grid(index, terms, sparse.rank_bm25(index, terms), tuning.RERANK_DOCS, tuning.RERANK_WINDOWS, tuning.RERANK_WEIGHTS)
+    return _cells_measured(spark, d, run.withColumn("doc_no", F.col("doc_ord").cast("string")), ["docs", "window", "weight"])
+
+
+def fusion_grid_measures(spark, d):
+    """Measures of every cell of the default simplex over whole fused runs."""
+    runs = _runs(spark, d)
+    run = tuning.fusion_grid([runs[k] for k in ("bm25", "rm3", "rm3exp")], tuning.simplex(spark))
+    return _cells_measured(spark, d, run, ["w1", "w2", "w3"])
+
+
 def page_fields(spark, d):
     docs = table(spark, d, "pages").select(F.col("page_id").alias("doc_ord"), F.col("html").alias("text"))
     made = weighted_tokens(docs, PAGE_FIELDS).groupBy("doc_ord", "term").agg(F.sum("weight").cast("long").alias("tf"))
@@ -343,8 +370,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         tokenize, normalize_terms, doc_lengths, postings, vocab_df, collection_stats, topics_parse, bm25_top1000, bm25_params, prf_terms,
         rm3_run, rm3_expansion_only, passage_scores, passage_rerank, sparse_default, dense_topk, dense_every_20th, l2_normalize, rrf_two, rrf_tri, rrf_tail,
-        fusion_ablations, rewrite_eligible, rewrite_normalize, mono_rerank, duo_rerank, llm_parse, llm_usage_cost, doc_text_prefix, eval_gm_map,
-        bm25_grid, passage_grid, fusion_simplex, fusion_grid, page_fields, branch_report, timing_summary, estimated_tokens, body_term_counts,
+        fusion_ablations, fusion_ablations_whole, rewrite_eligible, rewrite_normalize, mono_rerank, duo_rerank, llm_parse, llm_usage_cost, doc_text_prefix, eval_gm_map,
+        bm25_grid, passage_grid, fusion_simplex, fusion_grid, passage_grid_measures, fusion_grid_measures, page_fields, branch_report, timing_summary, estimated_tokens, body_term_counts,
     )
 } | {
     "eval_map": _measure("map"),

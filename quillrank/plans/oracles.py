@@ -252,6 +252,25 @@ def _fusion_grid() -> str:
     return _sql("SELECT w1, w2, w3, topic_id, doc_no, rank, round(score, 9) AS score FROM out WHERE rank <= 50", {"shares": shares, "cells": _simplex(0.25, 0.25, 0.75), "scored": scored, "out": out})
 
 
+_CELL_MEASURES = ", ".join(f"round(avg({n}), 9) AS {n}" for n in ("map", "Rprec", "P_10", "bpref", "recip_rank"))
+
+
+def _passage_grid_measures() -> str:
+    more, parts = {"wide": f"SELECT * FROM bm25_top WHERE rank <= {max(tuning.RERANK_DOCS)}", "wide_hits": _hits("wide")}, []
+    for w in tuning.RERANK_WINDOWS:
+        more[f"passages_{w}"] = _passages("wide", w)
+        for d in tuning.RERANK_DOCS:
+            parts += [f"SELECT {d} AS docs, {w} AS \"window\", CAST({x} AS DOUBLE) AS weight, topic_id, CAST(doc_ord AS VARCHAR) AS doc_no, score FROM ({_reranked('bm25_top', f'passages_{w}', d, str(x))})" for x in tuning.RERANK_WEIGHTS]
+    return _sql(f'SELECT docs, "window", round(weight, 6) AS weight, {_CELL_MEASURES} FROM measures GROUP BY docs, "window", weight', more | {"out": " UNION ALL ".join(parts)} | _measured("out", 'docs, "window", weight'))
+
+
+def _fusion_grid_measures() -> str:
+    union = " UNION ALL ".join(f"SELECT topic_id, doc_no, rank, {i} AS place FROM {r} WHERE rank <= 250" for i, r in enumerate(("run_bm25", "run_rm3", "run_rm3exp")))
+    shares = "SELECT topic_id, doc_no, " + ", ".join(f"sum(CASE WHEN place = {i} THEN 1.0::DOUBLE / (60.0::DOUBLE + rank) ELSE 0 END) AS r{i + 1}" for i in range(3)) + f" FROM ({union}) GROUP BY topic_id, doc_no"
+    out = "SELECT w1, w2, w3, topic_id, doc_no, w1 * r1 + w2 * r2 + w3 * r3 AS score FROM shares, cells"
+    return _sql(f"SELECT round(w1, 6) AS w1, round(w2, 6) AS w2, round(w3, 6) AS w3, {_CELL_MEASURES} FROM measures GROUP BY w1, w2, w3", {"shares": shares, "cells": _simplex(0.05, 0.05, 0.9), "out": out} | _measured("out", "w1, w2, w3"))
+
+
 def all_sql() -> dict[str, str]:
     """DuckDB SQL of every query in the catalogue."""
     iprec = [f"iprec_at_recall_{x:.2f}" for x in LEVELS]
@@ -287,6 +306,10 @@ def all_sql() -> dict[str, str]:
             "SELECT 'bm25' AS name, topic_id, doc_no, rank, round(score, 6) AS score FROM run_bm25 WHERE rank <= 100 UNION ALL SELECT 'bm25_rm3', topic_id, doc_no, rank, round(score, 8) FROM two WHERE rank <= 100 UNION ALL SELECT 'bm25_rm3_rm3exp', topic_id, doc_no, rank, round(score, 8) FROM tri WHERE rank <= 100",
             {"two": _tailed(_TRI[:2]), "tri": _tailed(_TRI)},
         ),
+        "fusion_ablations_whole": _sql(
+            "SELECT 'bm25' AS name, topic_id, doc_no, rank, round(score, 6) AS score FROM run_bm25 UNION ALL SELECT 'bm25_rm3', topic_id, doc_no, rank, round(score, 8) FROM two UNION ALL SELECT 'bm25_rm3_rm3exp', topic_id, doc_no, rank, round(score, 8) FROM tri",
+            {"two": _tailed(_TRI[:2]), "tri": _tailed(_TRI)},
+        ),
         "rewrite_eligible": _sql("SELECT topic_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) BETWEEN 1 AND 3 AS eligible FROM topic_words"),
         "rewrite_normalize": _rewrite(),
         "mono_rerank": _sql("SELECT topic_id, doc_no, rank, llm_score, n - rank + 1 AS final_score FROM mono", _MONO),
@@ -307,6 +330,8 @@ def all_sql() -> dict[str, str]:
         "passage_grid": _passage_grid(),
         "fusion_simplex": f"SELECT round(w1, 6) AS w1, round(w2, 6) AS w2, round(w3, 6) AS w3 FROM ({_simplex(0.05, 0.05, 0.9)})",
         "fusion_grid": _fusion_grid(),
+        "passage_grid_measures": _passage_grid_measures(),
+        "fusion_grid_measures": _fusion_grid_measures(),
         "page_fields": _PAGES,
         "branch_report": _branches(),
         "timing_summary": "SELECT event_type AS label, min(value) AS fastest, max(value) AS slowest, quantile_disc(value, 0.5) AS median FROM events GROUP BY event_type",

@@ -25,7 +25,7 @@ def test_against_sql(spark, name):
     assert sorted(map(str, (tuple(r[n] for n in names) for r in got.collect()))) == sorted(map(str, want.select(*[duckdb.ColumnExpression(n) for n in names]).fetchall()))
 
 
-@pytest.mark.parametrize("name", ["dense_every_20th"])
+@pytest.mark.parametrize("name", ["dense_every_20th", "fusion_ablations_whole", "fusion_grid_measures", "passage_grid_measures"])
 def test_whole_jobs(spark, name):
     """Queries over the whole query set or grid, against their SQL."""
     test_against_sql(spark, name)
