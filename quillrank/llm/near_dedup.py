@@ -8,22 +8,29 @@ are dropped without looking at the sets; every link is confirmed on full sets.
 
 Work per group of alike texts stays linear: equal sets collapse first; every
 band bucket then compares its members with one pivot, the member that meets
-most others over all buckets; only what the links found so far leave apart in
-one bucket is compared directly, and only where neither the sketches nor the
-numbers of frequent shingles rule a link out.
+most others over all buckets. Buckets that the links leave in several
+components choose further pivots, few at first and more from round to round,
+until exact counts of frequent shingles rule out every link that is left.
+
+Two steps are random, with fixed seeds: a pair at similarity 0.8 shares none of
+the 36 bands of 5 with probability 6e-7, and the sketches of such a pair differ
+in more than ``SKETCH_LIMIT`` bits with probability below 1e-8. The tests
+measure both together.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected
+from .skew import HOT, join_facts
 from .storage import stored
 from .words import Words, chunks, mixed
 
@@ -35,6 +42,8 @@ SKETCH_WORDS = 8
 SKETCH_LIMIT = 114
 #: Sets that have a rare shingle, at most.
 RARE = 16
+#: Pivots that a key chooses in one round, at most.
+MOST_PIVOTS = 256
 #: So many ids are broadcast at most; beyond, the texts are joined by shuffle.
 BROADCAST_IDS = 500_000
 
@@ -129,32 +138,79 @@ def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
 
 
-def _apart(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of ``rest(key, rep, component, main, sketch)`` that may still link.
+def _known(rest: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rest`` with ``n`` and ``m``, a set's shingles and its frequent ones, and pairs.
 
     Shingles that at most ``RARE`` of all these sets have are rare. Pairs that
-    share one are few and listed outright. Others share frequent shingles
-    only, at most the smaller number of those; with both sizes that bounds the
-    similarity exactly, so pairs of one bucket (in different components, not
-    both in its main one) are listed where the bound and the sketches allow.
+    share one are few and listed outright; other pairs share frequent shingles
+    only, at most the smaller ``m``.
     """
     each = sets.select(F.col("doc_id").alias("rep"), F.explode("shingles").alias("s"))
-    rare = stored(each.join(each.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") <= RARE), "s").select("rep", "s", "c"), "rare")
-    sizes = sets.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n")).join(rare.groupBy("rep").agg(F.count("*").alias("r")), "rep", "left")
-    known = stored(rest.join(sizes.select("rep", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("m")), "rep"), "open")
+    total = sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
+    counts = stored(each.groupBy("s").agg(F.count("*").alias("c")).where((F.col("c") <= RARE) | (F.col("c") * HOT > total)), "counts")
+    cold = each.join(F.broadcast(counts.where(F.col("c") * HOT > total).select("s")), "s", "left_anti")  # fewer than HOT shingles
+    rare = stored(cold.join(counts.where(F.col("c") <= RARE), "s").select("rep", "s", "c"), "rare")
+    few = each.join(F.broadcast(counts.where((F.col("c") * HOT > total) & (F.col("c") <= RARE))), "s").select("rep", "s", "c")
+    rare = rare.union(few)
+    sizes = sets.select(F.col("doc_id").alias("rep"), F.size("shingles").cast("long").alias("n")).join(rare.groupBy("rep").agg(F.count("*").alias("r")), "rep", "left")
+    known = rest.join(sizes.select("rep", "n", (F.col("n") - F.coalesce("r", F.lit(0))).alias("m")), "rep")
+    a = rare.where("c > 1").select("s", "rep")
+    sharing = a.join(a.select("s", F.col("rep").alias("other")), "s").where("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b")).distinct()
+    return known, sharing
 
-    other = known.select("key", *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "sketch", "n", "m")])
-    most = F.least("m", "m_b")
-    bound = most * 100 >= percent * (F.col("n") + F.col("n_b") - most)
-    near = (F.col("component") != F.col("component_b")) & (_sketch_bits("sketch", "sketch_b") <= SKETCH_LIMIT)
-    met = known.where("component <> main").join(other, "key").where(bound & near)
 
-    told = known.groupBy("rep").agg(F.first("component").alias("component"), F.first("sketch").alias("sketch"))
-    a = rare.where("c > 1").select("s", "rep")
-    sharing = a.join(a.select("s", F.col("rep").alias("rep_b")), "s").where("rep < rep_b").select("rep", "rep_b").distinct()
-    listed = sharing.join(told, "rep").join(told.select(*[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "sketch")]), "rep_b").where(near)
-    both = met.select("rep", "rep_b").union(listed.select("rep", "rep_b"))
-    return both.select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b")).distinct()
+def _possible(n: Column, m: Column, n_b: Column, m_b: Column, percent: int) -> Column:
+    """Whether two sets that share frequent shingles only may reach the similarity."""
+    most = F.least(m, m_b)
+    return most * 100 >= percent * (n + n_b - most)
+
+
+def _settled(rest: DataFrame, links: DataFrame, texts: DataFrame, sketches: DataFrame, n: int, percent: int) -> DataFrame:
+    """All links that matter within the open keys, found by rounds of pivots.
+
+    ``rest(key, rep, component, size, done)``; ``done`` marks members that were
+    compared with their whole key. In each round the members of a key that may
+    still link across components (their counts allow a partner) choose pivots:
+    those with the least share of rare shingles, since most others resemble
+    them. Pivots meet all members of other components once. A key is settled
+    when such members are left in one component only; the number of pivots
+    grows from round to round, so a few rounds settle a key, and every pair
+    is either compared or ruled out by exact counts.
+    """
+    sets = _sets_of(rest.select(F.col("rep").alias("id")).distinct(), texts, n)
+    known, sharing = _known(rest, sets)
+    state = stored(known, "open")
+    late = stored(_alike(sharing, sketches), "pairs")
+    new = stored(_confirmed(late, sets, percent), "links")
+    pivots, total = 1, state.count()
+    while True:
+        if new.limit(1).count():
+            links = stored(links.union(new), "links")
+            now = connected(links)
+            state = state.drop("component").join(now.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        sized = stored(state.withColumn("grade", F.floor(F.log(F.col("n")) / math.log(1.05))), "open")
+        grades = sized.groupBy("key", "size", "grade").agg(F.min("n").alias("n"), F.max("m").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+        parts = grades.groupBy("key", "size").agg(F.collect_list(F.struct("n", "m", "low", "high")).alias("parts"))  # grades of sizes: some hundreds at most
+        partner = F.exists("parts", lambda p: ((p["low"] != F.col("component")) | (p["high"] != F.col("component"))) & _possible(F.col("n"), F.col("m"), p["n"], p["m"], percent))
+        alive = stored(join_facts(sized.drop("size"), parts, "key", "size", total).withColumn("alive", ~F.col("done") & partner).drop("parts", "grade"), "open")
+        keys = alive.where("alive").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+        sizes = alive.groupBy("key", "component").agg(F.count("*").alias("members"), F.max("size").alias("size"))
+        mains = sizes.groupBy("key").agg(F.max(F.struct("members", "component"))["component"].alias("main"), F.max("size").alias("size")).join(keys, "key")
+        state = stored(join_facts(alive.drop("size"), mains, "key", "size", total), "open")
+        total = state.count()
+        if not total:
+            return links
+        away = F.lit(0) if pivots == 1 else (F.col("component") == F.col("main")).cast("int")
+        order = Window.partitionBy("key").orderBy(away, (F.col("n") - F.col("m")) / F.col("n"), "rep")
+        chosen = stored(state.where("alive").withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots).select("key", "size", "rep", "component", "n", "m"), "pivots")
+        listed = chosen.groupBy("key", "size").agg(F.collect_list(F.struct("rep", "component", "n", "m")).alias("pivots"))  # MOST_PIVOTS at most
+        fit = lambda p: (p["component"] != F.col("component")) & _possible(F.col("n"), F.col("m"), p["n"], p["m"], percent)
+        met = join_facts(state.drop("size"), listed, "key", "size", total).select("rep", F.explode(F.filter("pivots", fit)).alias("p"))
+        pairs = met.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
+        new = stored(_confirmed(stored(_alike(pairs, sketches), "pairs"), sets, percent), "links")
+        marked = chosen.select("key", "rep", F.lit(True).alias("now"))
+        state = state.join(marked, ["key", "rep"], "left").withColumn("done", F.col("done") | F.coalesce("now", F.lit(False))).drop("now", "alive", "main")
+        pivots = min(4 * pivots, MOST_PIVOTS)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -179,26 +235,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         "classes",
     )
     entries = classes.select("rep", F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    live = stored(entries.join(shared, "key"), "entries")
+    shared = stored(entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "keys")
+    total = shared.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    live = stored(join_facts(entries, shared, "key", "size", total), "entries")
     sketches = classes.select("rep", "sketch")
 
     degree = live.groupBy("rep").agg(F.sum("size").alias("degree"))
-    best = live.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("less"))).alias("best"))
-    pivots = best.select("key", (-F.col("best.less")).alias("pivot"))
-    star = live.join(pivots, "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+    best = live.join(degree, "rep").groupBy("key", "size").agg(F.max(F.struct("degree", (-F.col("rep")).alias("less"))).alias("best"))
+    pivots = stored(best.select("key", "size", (-F.col("best.less")).alias("pivot")), "pivots")
+    members = stored(join_facts(live.drop("size"), pivots, "key", "size", total), "members")
+    star = members.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     star = stored(_alike(star, sketches), "pairs")
     links = stored(_confirmed(star, _sets_of(_ids(star), texts, n), percent), "links")
 
     found = stored(connected(links), "components")
-    placed = live.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    mains = pivots.join(found.withColumnRenamed("node", "pivot"), "pivot", "left").select("key", "pivot", F.coalesce("component", "pivot").alias("main"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = stored(placed.join(open_keys, "key").join(mains, "key").where("rep <> pivot").join(sketches, "rep").select("key", "rep", "component", "main", "sketch"), "rest")
-    sets = _sets_of(rest.select(F.col("rep").alias("id")).distinct(), texts, n)
-    late = stored(_apart(rest, sets, percent), "pairs")
-    more = _confirmed(late, sets, percent)
-    final = connected(links.union(more)).select(F.col("node").alias("rep"), "component")
+    placed = stored(members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "members")
+    open_keys = placed.groupBy("key", "size").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "size")
+    rest = stored(join_facts(placed.drop("size"), open_keys, "key", "size", total).select("key", "size", "rep", "component", (F.col("rep") == F.col("pivot")).alias("done")), "rest")
+    final = connected(_settled(rest, links, texts, sketches, n, percent)).select(F.col("node").alias("rep"), "component")
 
     homes = classes.select("k0", "k1", "rep").join(final, "rep", "left").select("k0", "k1", F.coalesce("component", "rep").alias("home"))
     linked = rows.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "k0", "k1").join(homes, ["k0", "k1"])
