@@ -52,7 +52,7 @@ def counted(rows: DataFrame, copy: str = "copy") -> DataFrame:
     not depend on how the rows were dealt out.
     """
     many = rows.groupBy(*rows.columns).agg(F.count("*").alias("__n"))
-    blocks = many.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("__n") - 1) / BLOCK)))
+    blocks = many.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / BLOCK))))
     last = F.least(F.col("__n"), (F.col("__block") + 1) * BLOCK) - 1
     return blocks.withColumn(copy, F.explode(F.sequence(F.col("__block") * BLOCK, last))).drop("__n", "__block")
 
