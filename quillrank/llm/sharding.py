@@ -9,8 +9,9 @@ is gathered. At the end unlinked documents (then as few others as possible)
 move from shards above their exact quota to those below.
 
 Per hub only counts by shard are formed, summed on each executor first. Hubs
-of more than a 512th of all documents number 512 at most and are broadcast;
-smaller ones are joined by shuffle and cannot make a hot task.
+of more than a 4096th of all documents number 4096 at most: they are broadcast
+and their documents move one by one; smaller ones are joined by shuffle, move
+whole and cannot make a hot task. Documents without a hub skip all joins.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import counted
 from .storage import stored
 
 SHARDS, ROUNDS, SLACK = 8, 4, 0.2
-LARGE = 512
+#: A hub above this share (and size) is large.
+LARGE, LARGE_ROWS = 4096, 256
 #: Hash buckets per shard for exact positions; a bucket's rows share a task.
 BUCKETS = 1024
 
@@ -71,17 +74,20 @@ def numbered(rows: DataFrame, group: str, order: Column, name: str, groups: int)
 def propagate(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """``rows(row, hub, ...)`` with ``shard``: linked rows together, counts at most one apart.
 
-    ``row`` is unique; rows of one ``hub`` are linked, a null hub links nothing.
+    ``row`` is unique and orderable; rows of one ``hub`` are linked, a null hub
+    links nothing.
     """
     total = rows.count()
-    members = rows.where("hub is not null").groupBy("hub").agg(F.count("*").alias("members"))
-    large = F.col("members") * LARGE > total
-    big = members.where(large).select(F.col("hub").alias("big_hub"))  # LARGE rows at most
-    small = members.where((F.col("members") > 1) & ~large).select(F.col("hub").alias("small_hub"))
-    sized = rows.join(F.broadcast(big), F.col("hub") == F.col("big_hub"), "left").join(small, F.when(F.col("big_hub").isNull(), F.col("hub")) == F.col("small_hub"), "left")
-    kind = F.when(F.col("big_hub").isNotNull(), 2).when(F.col("small_hub").isNotNull(), 1).otherwise(0)
+    members = stored(rows.where("hub is not null").groupBy(F.col("hub").alias("of")).agg(F.count("*").alias("members")).where("members > 1"), "hubs")
+    large = (F.col("members") * LARGE > total) & (F.col("members") > LARGE_ROWS)
+    big = F.broadcast(members.where(large).select("of"))  # fewer than LARGE rows
+    linked = rows.where("hub is not null")
+    few = linked.join(big, F.col("hub") == F.col("of")).drop("of").withColumn("kind", F.lit(2))
+    rest = linked.join(big, F.col("hub") == F.col("of"), "left_anti").join(members.where(~large), F.col("hub") == F.col("of"), "left")
+    rest = rest.withColumn("kind", F.col("of").isNotNull().cast("int")).drop("of", "members")
+    single = rows.where("hub is null").withColumn("kind", F.lit(0))
     start = F.floor(_unit("row", 1) * shards).cast("int")
-    now = stored(sized.withColumn("kind", kind).withColumn("shard", start).drop("big_hub", "small_hub"), "shards")
+    now = stored(single.unionByName(few).unionByName(rest).withColumn("shard", start), "shards")
     limit = total / shards * (1 + SLACK)
     for k in range(rounds):
         votes = now.where("kind > 0").groupBy("hub", "shard", "kind").agg(F.count("*").alias("n"))
@@ -130,7 +136,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Size is
     the text's UTF-8 bytes (null: none) plus 1. Shards' counts are at most one
     apart (law ``rows``). Null texts are linked with nothing; empty ones with
-    each other. Repeated rows are documents of their own. Returns ``doc_id``,
+    each other. Repeated rows are documents of their own. The result depends on
+    the rows alone, not on how they are dealt out. Returns ``doc_id``,
     ``size``, ``text_crc32``, ``hub`` (128 bits of the text), ``law``,
     ``shard``, ``slot`` (gapless from 0 within the shard), ``grown_shard`` (null under this law).
     An empty table gives no rows.
@@ -139,7 +146,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     hub = F.when(text.isNotNull(), F.concat_ws(":", F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(7), text))))
     rows = docs.select(
         "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"), hub.alias("hub")
-    ).withColumn("row", F.monotonically_increasing_id())
+    )
+    rows = counted(rows).withColumn("row", F.struct("doc_id", "hub", "copy")).drop("copy")
     made = propagate(stored(rows, "rows"), shards, rounds)
     slotted = numbered(stored(made, "shards"), "shard", _unit("row", 93), "slot", shards)
     return slotted.select("doc_id", "size", "text_crc32", "hub", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
