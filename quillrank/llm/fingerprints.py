@@ -1,16 +1,17 @@
-"""Merkle trees over paragraphs and sections, in DataFrame functions only.
-
-A text's paragraphs are its lines. A paragraph's node is the SHA-256 of its
-text; a section ends at an empty paragraph or one whose node starts with "0"
-(about one in sixteen, so the cut depends on content alone); a section's node
-hashes its paragraphs' nodes and the root hashes the sections' nodes. Equal
-roots mean equal texts; where roots differ, the differing section and
-paragraph nodes locate the edit.
-
-Below the paragraphs lie pieces of at most 16 code points, restarted after
-every ``. ! ?`` and line end. A piece is kept as one long: 56 bits of hash and
-8 bits of length. Two trees' likeness is the share of code points in pieces
-that both have.
+"""Merkle trees over leaves, paragraphs and sections, in DataFrame functions only.
+
+A text's paragraphs are its lines. A paragraph is cut by its content into
+leaves of at most 16 code points, restarted after every ``. ! ?`` and line; a
+leaf's node is 64 bits of hash. A paragraph's node is the SHA-256 of its
+leaves' nodes and its text; a section ends at an empty paragraph or one whose
+node starts with "0" (about one in sixteen, so the cut depends on content
+alone); a section's node hashes its paragraphs' nodes and the root hashes the
+sections' nodes. Equal roots mean equal texts; where roots differ, the
+differing section, paragraph and leaf nodes locate the edit.
+
+Two trees' likeness is the weighted Dice share of the nodes, as multisets, that
+both have: a leaf weighs its code points, every other node 1. Since the roots
+of unequal texts differ, only equal texts have likeness 1.
 """
 
 from __future__ import annotations
@@ -18,21 +19,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECE = 16
-_PIECES = rf"[^.!?\n]{{0,{PIECE - 1}}}[.!?\n]|[^.!?\n]{{1,{PIECE}}}"
+from .skew import ranked
+
+LEAF = 16
+_LEAVES = rf"[^.!?]{{0,{LEAF - 1}}}[.!?]|[^.!?]{{1,{LEAF}}}"
+_LONG = (1 << 55) - 1
+#: Documents per range whose texts are laid side by side, at least, and the
+#: most ranges (their bounds travel with the plan: 24 bytes each).
+RANGE_ROWS, MOST_RANGES = 2048, 1 << 19
+
+
 _EMPTY_NODE = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # SHA-256 of no bytes
-#: Documents per range of ids whose texts are laid side by side, and the most
-#: ranges (their bounds travel with the plan).
-RANGE_ROWS, MOST_RANGES = 2048, 8192
 
 
 def sha256(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
-def paragraph_nodes(text: Column) -> Column:
-    """The node of every line."""
-    return F.transform(F.split(text, "\n", -1), sha256)
+def leaf_nodes(text: Column) -> Column:
+    """The leaves of every line: structs of ``node`` and ``size`` (code points)."""
+    cut = lambda line: F.regexp_extract_all(line, F.lit(_LEAVES), F.lit(0))
+    leaf = lambda x: F.struct(F.xxhash64(x).alias("node"), F.char_length(x).alias("size"))
+    return F.transform(F.split(text, "\n", -1), lambda line: F.struct(line.alias("text"), F.transform(cut(line), leaf).alias("leaves")))
+
+
+def paragraph_nodes(lines: Column) -> Column:
+    """The node of every line of ``leaf_nodes``; empty lines have the empty text's."""
+    named = lambda line: F.concat(F.array_join(F.transform(line["leaves"], lambda x: F.hex(x["node"])), ","), F.lit(":"), line["text"])
+    return F.transform(lines, lambda line: F.when(line["text"] == "", F.lit(_EMPTY_NODE)).otherwise(sha256(named(line))))
 
 
 def section_nodes(paragraphs: Column) -> Column:
@@ -45,33 +59,57 @@ def root_node(sections: Column) -> Column:
     return sha256(F.array_join(sections, ""))
 
 
-def pieces(text: Column) -> Column:
-    """The distinct pieces as longs: hash in the upper 56 bits, length below."""
-    found = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda x: F.shiftleft(F.xxhash64(x), 8).bitwiseOR(F.char_length(x).cast("long"))))
+def marks(lines: Column, paragraphs: Column, sections: Column, root: Column) -> Column:
+    """All nodes of a tree, sorted, as longs: 55 bits of hash, weight below."""
+
+    def mark(node: Column, weight: Column) -> Column:
+        return F.shiftleft(node.bitwiseAND(F.lit(_LONG)), 8).bitwiseOR(weight.cast("long"))
 
+    leaves = F.flatten(F.transform(lines, lambda line: F.transform(line["leaves"], lambda x: mark(x["node"], x["size"]))))
+    upper = F.flatten(F.array(F.transform(paragraphs, lambda p: F.xxhash64(p, F.lit(1))), F.transform(sections, lambda p: F.xxhash64(p, F.lit(2))), F.array(F.xxhash64(root, F.lit(3)))))
+    return F.sort_array(F.concat(leaves, F.transform(upper, lambda x: mark(x, F.lit(1)))))
 
-def _weight(leaves: Column) -> Column:
-    return F.aggregate(leaves, F.lit(0).cast("long"), lambda total, x: total + x.bitwiseAND(F.lit(255).cast("long")))
+
+def _weight(nodes: Column) -> Column:
+    return F.aggregate(nodes, F.lit(0).cast("long"), lambda total, x: total + x.bitwiseAND(F.lit(255).cast("long")))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice share of code points in common pieces; 1 for two empty texts."""
-    total = _weight(a) + _weight(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * _weight(F.array_intersect(a, b)) / total)
+    """Dice share by weight of the nodes (``marks``) that both trees have.
+
+    Both sides are merged in order; a node of ``b`` counts for one of ``a`` that is
+    still open, so repeated nodes count as often as both have them.
+    """
+    side = lambda x, k: F.transform(x, lambda m: F.shiftleft(m, 1).bitwiseOR(F.lit(k).cast("long")))
+    start = F.struct(F.lit(0).cast("long").alias("node"), F.lit(0).alias("open"), F.lit(0).cast("long").alias("shared"))
+
+    def meet(have: Column, x: Column) -> Column:
+        node, second, same = F.shiftright(x, 1), x.bitwiseAND(F.lit(1).cast("long")) == 1, F.shiftright(x, 1) == have["node"]
+        open_ = F.when(same, have["open"]).otherwise(0)
+        hit = second & (open_ > 0)
+        return F.struct(node.alias("node"), F.when(hit, open_ - 1).when(second, open_).otherwise(open_ + 1).alias("open"), (have["shared"] + F.when(hit, node.bitwiseAND(F.lit(255).cast("long"))).otherwise(0)).alias("shared"))
+
+    shared = F.aggregate(F.sort_array(F.concat(side(a, 0), side(b, 1))), start, meet)["shared"]
+    return 2.0 * shared / (_weight(a) + _weight(b))
+
+
+def with_tree(docs: DataFrame, text: Column, prefix: str) -> DataFrame:
+    """``docs`` with ``<prefix>_lines``, ``_paragraphs``, ``_sections``, ``_root`` and ``_marks``."""
+    at = lambda name: F.col(f"{prefix}_{name}")
+    made = docs.withColumn(f"{prefix}_lines", leaf_nodes(F.coalesce(text, F.lit("")))).withColumn(f"{prefix}_paragraphs", paragraph_nodes(at("lines")))
+    made = made.withColumn(f"{prefix}_sections", section_nodes(at("paragraphs"))).withColumn(f"{prefix}_root", root_node(at("sections")))
+    return made.withColumn(f"{prefix}_marks", marks(at("lines"), at("paragraphs"), at("sections"), at("root")))
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``tree``: struct of root, sections, paragraphs, pieces.
+    """``docs`` with ``tree``: struct of root, sections, paragraphs, leaves, marks.
 
     A null text counts as empty: one empty paragraph, one section.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    nodes = docs.withColumn("__paragraphs", paragraph_nodes(whole)).withColumn("__sections", section_nodes(F.col("__paragraphs")))
-    tree = F.struct(
-        root_node(F.col("__sections")).alias("root"), F.col("__sections").alias("sections"), F.col("__paragraphs").alias("paragraphs"), pieces(whole).alias("pieces")
-    )
-    return nodes.withColumn("tree", tree).drop("__paragraphs", "__sections")
+    made = with_tree(docs, F.col(text), "__t")
+    leaves = F.transform("__t_lines", lambda line: line["leaves"])
+    tree = F.struct(F.col("__t_root").alias("root"), F.col("__t_sections").alias("sections"), F.col("__t_paragraphs").alias("paragraphs"), leaves.alias("leaves"), F.col("__t_marks").alias("marks"))
+    return made.withColumn("tree", tree).select(*docs.columns, "tree")
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -80,39 +118,48 @@ def differing(a: Column, b: Column) -> Column:
     return F.when(a["root"] == b["root"], F.array().cast("array<int>")).otherwise(F.filter(at, lambda i: i >= 0))
 
 
-def beside_next(docs: DataFrame, key: str, value: str, extra: list[Column] | None = None) -> DataFrame:
-    """Every row of ``docs(key, value)`` with ``next_*`` of the row after it.
+def _range_of(key: Column, bounds: list) -> Column:
+    """The last range whose bound is not above ``key``, found in two levels."""
+    width = max(1, int(len(bounds) ** 0.5))
+    one = lambda b: F.struct(F.lit(b[0]).cast("long").alias("k0"), F.lit(b[1]).cast("long").alias("k1"), F.lit(b[2]).cast("long").alias("k2"))
+    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
+    tops = F.array(*[one(g[0]) for g in groups])
+    group = F.greatest(F.size(F.filter(tops, lambda b: b <= key)), F.lit(1))
+    inside = F.element_at(F.array(*[F.array(*[one(b) for b in g]) for g in groups]), group)
+    return ((group - 1) * width + F.greatest(F.size(F.filter(inside, lambda b: b <= key)), F.lit(1)) - 1).cast("long")
+
+
+def beside_next(docs: DataFrame) -> DataFrame:
+    """Every row of ``docs(doc_id, text)`` with the tree's marks and ``next_*`` of the row after it.
 
-    Rows are ordered by ``key``, nulls first, ties by ``value``; the last
-    row's next is the first. The table is cut into ranges of keys; each range's
-    first key also goes to the range before, so the values move once.
-    ``extra`` columns are computed after that move and get a ``next_`` too.
+    Rows are ordered by ``doc_id``, nulls first, then by a hash of the text;
+    the last row's next is the first. Ranges of equally many rows, told by
+    their first rows, are formed without the texts; each range's first row also
+    goes to the range before, so the texts move once. Repeated rows (next to
+    each other) are told apart by their place in the input, so that they may
+    share several ranges.
     """
-    spark = docs.sparkSession
-    rows = docs.count()
-    parts = min(MOST_RANGES, max(1, rows // RANGE_ROWS))
-    bounds = []
-    if parts > 1:
-        wanted = [i / parts for i in range(1, parts)]
-        bounds = sorted(set(docs.agg(F.percentile_approx(key, wanted, 100 * parts)).first()[0]))
-    at = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<long>"), lambda b: b <= F.col(key))) if bounds else F.lit(0)
-    ranged = docs.withColumn("__at", F.when(F.col(key).isNull(), 0).otherwise(at))
-    firsts = {r["__at"]: (r["first"], r["low"]) for r in ranged.groupBy("__at").agg(F.min(key).alias("first"), F.max(F.col(key).isNull()).alias("low")).collect()}
-    order = sorted(firsts)
-    before = [(order[i - 1], None if firsts[at][1] else firsts[at][0]) for i, at in enumerate(order)]
-    heads = spark.createDataFrame(before, f"__into int, __head {dict(docs.dtypes)[key]}")
-    sent = ranged.join(F.broadcast(heads), F.col(key).eqNullSafe(F.col("__head")), "left")
+    keyed = docs.withColumn("__place", F.monotonically_increasing_id())
+    key = F.struct(F.col("doc_id").cast("long").alias("k0"), F.xxhash64("text").alias("k1"), F.col("__place").alias("k2"))
+    order = ranked(keyed.select(key.alias("key")), [F.asc_nulls_first("key")], "rank")
+    rows = order.count()
+    each = max(RANGE_ROWS, -(-rows // MOST_RANGES))
+    bounds = [(r["key"]["k0"], r["key"]["k1"], r["key"]["k2"]) for r in order.where(F.col("rank") % each == 0).orderBy("rank").select("key").collect()]  # MOST_RANGES at most
+    if bounds:
+        ranged = keyed.withColumn("__key", key).withColumn("__at", _range_of(F.col("__key"), bounds))
+        spark = docs.sparkSession
+        heads = spark.createDataFrame([(at, *b) for at, b in enumerate(bounds)], "__own long, k0 long, k1 long, k2 long").select("__own", F.struct("k0", "k1", "k2").alias("__head"))
+        ranged = ranged.join(F.broadcast(heads), F.col("__at") == F.col("__own")).withColumn("__first", F.col("__key") == F.col("__head"))
+    else:
+        ranged = keyed.withColumn("__key", key).withColumn("__at", F.lit(0).cast("long")).withColumn("__first", F.lit(False))
     own = F.struct(F.col("__at").alias("at"), F.lit(False).alias("guest"))
-    visits = F.when(F.col("__into").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("__into").alias("at"), F.lit(True).alias("guest"))))
-    dealt = sent.withColumn("__visit", F.explode(visits)).select(key, value, F.col("__visit.at").alias("__at"), F.col("__visit.guest").alias("__guest"))
-    dealt = dealt.repartition("__at")
-    names = [value]
-    for name, column in extra or []:
-        dealt = dealt.withColumn(name, column)
-        names.append(name)
-    window = Window.partitionBy("__at").orderBy(F.col("__guest"), F.asc_nulls_first(key), F.asc_nulls_first(value))
-    nexts = [F.lead(x).over(window).alias(f"next_{x}") for x in names]
-    return dealt.select(key, *names, "__guest", *nexts).where("not __guest").drop("__guest")
+    before = F.struct(F.pmod(F.col("__at") - 1, F.lit(max(1, len(bounds)))).cast("long").alias("at"), F.lit(True).alias("guest"))
+    visits = F.when(F.coalesce("__first", F.lit(False)), F.array(own, before)).otherwise(F.array(own))
+    dealt = ranged.withColumn("__visit", F.explode(visits)).select("doc_id", "text", "__key", F.col("__visit.at").alias("__at"), F.col("__visit.guest").alias("__guest")).repartition("__at")
+    trees = with_tree(dealt, F.col("text"), "own").drop("own_lines", "own_paragraphs", "own_sections")
+    window = Window.partitionBy("__at").orderBy("__guest", F.asc_nulls_first("__key"))
+    nexts = [F.lead("text").over(window).alias("next_text"), F.lead("own_marks").over(window).alias("next_marks")]
+    return trees.select("doc_id", "text", "own_root", "own_marks", "__guest", *nexts).where("not __guest").drop("__guest")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -121,23 +168,23 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     ``docs`` needs ``doc_id`` and ``text`` (null: empty); others are ignored.
     The edited text keeps the text but its last floor(n_chars / 2) code points,
     which the first as many of the next document (ascending doc_id, null
-    first, equal ids by text; after the last: the first) replace. Returns per
-    row: ``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``,
+    first, equal ids by a hash of the text; after the last: the first) replace.
+    Returns per row: ``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``,
     ``edited_fingerprint`` (roots), ``near_edited``, ``near_next``. A single
-    document is its own next; an empty table gives no rows.
+    document is its own next; an empty table gives no rows. Repeated rows are
+    each other's next.
     """
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    placed = beside_next(texts, "doc_id", "text", [("pieces", pieces(F.col("text")))])
+    placed = beside_next(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    made = placed.select("doc_id", "text", "pieces", "next_pieces", n.cast("long").alias("n_chars"), edited.alias("edited"))
-    trees = made.withColumns({"p": paragraph_nodes(F.col("text")), "q": paragraph_nodes(F.col("edited")), "edited_pieces": pieces(F.col("edited"))})
+    made = placed.select("doc_id", "own_root", "own_marks", "next_marks", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    trees = with_tree(made, F.col("edited"), "edited")
     return trees.select(
         "doc_id", "n_chars",
         sha256(F.col("edited")).alias("edited_sha256"),
-        root_node(section_nodes(F.col("p"))).alias("fingerprint"),
-        root_node(section_nodes(F.col("q"))).alias("edited_fingerprint"),
-        likeness(F.col("pieces"), F.col("edited_pieces")).alias("near_edited"),
-        likeness(F.col("pieces"), F.col("next_pieces")).alias("near_next"),
+        F.col("own_root").alias("fingerprint"),
+        F.col("edited_root").alias("edited_fingerprint"),
+        likeness(F.col("own_marks"), F.col("edited_marks")).alias("near_edited"),
+        likeness(F.col("own_marks"), F.col("next_marks")).alias("near_next"),
     )
