@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import with_facts
 from .storage import fresh_path, shared_dir, stored
 
 # Frame numbers of the Zstandard and WARC-Zstandard formats.
@@ -201,8 +202,10 @@ def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:
     whole = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     keyed = whole.withColumn("digest", F.sha2(payload, 256)).withColumn("size", F.length(payload))
-    firsts = keyed.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n").withColumnRenamed("digest", "d")
-    roles = keyed.join(firsts, F.col("digest") == F.col("d"), "left")
+    firsts = keyed.where(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = stored(firsts, "firsts")
+    total = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    roles = with_facts(keyed, firsts, "digest", "n", total, F.xxhash64("page_id", "url"))
     revisit = F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     rows = roles.select("page_id", "url", "html", "digest", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
     there = keyed.where("size > 0")
