@@ -20,8 +20,9 @@ from .words import chunks
 
 # The pre-tokenization pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct merged pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Characters of distinct merged pre-tokens that a worker remembers before it
+#: starts anew; longer ones than ``LONGEST`` are counted each time.
+REMEMBERED, LONGEST = 8_000_000, 256
 
 
 def _bytes_of_symbols() -> dict[str, int]:
@@ -81,7 +82,7 @@ class Counter:
         self.split = regex.compile("|".join(map(regex.escape, special))).split if special else None
         self.tokenizer = Tokenizer.from_file(path)
         self.whole = dict.fromkeys(proven_whole(path), 1)
-        self.known = dict(self.whole)
+        self.known, self.held = dict(self.whole), 0
 
     def counts(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
@@ -90,16 +91,27 @@ class Counter:
             parts = self.split(text) if self.split else [text]
             found.append([self.find(p) for p in parts])
             extra.append(len(parts) - 1)
-        new = list({x for parts in found for p in parts for x in p if x not in self.known})
-        if len(self.known) + len(new) > len(self.whole) + REMEMBERED:
-            self.known = dict(self.whole)
-            new = list({x for parts in found for p in parts for x in p if x not in self.known})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for x, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[x] = len(e)
+        new = {x for parts in found for p in parts for x in p if x not in self.known}
+        if self.held + sum(map(len, new)) > REMEMBERED:
+            self.known, self.held = dict(self.whole), 0
+            new = {x for parts in found for p in parts for x in p if x not in self.known}
+        passing = []
+        for x, n in self._merged(list(new)):
+            self.known[x] = n
+            self.held += len(x)
+            if len(x) > LONGEST:
+                passing.append(x)
         get = self.known.__getitem__
-        return [more + sum(sum(map(get, p)) for p in parts) for parts, more in zip(found, extra, strict=True)]
+        counted = [more + sum(sum(map(get, p)) for p in parts) for parts, more in zip(found, extra, strict=True)]
+        for x in passing:
+            del self.known[x]
+            self.held -= len(x)
+        return counted
+
+    def _merged(self, strings: list[str]) -> Iterator[tuple[str, int]]:
+        for at in range(0, len(strings), 4096):
+            some = strings[at : at + 4096]
+            yield from zip(some, map(len, self.tokenizer.encode_batch(some, add_special_tokens=False)), strict=True)
 
 
 _counters: dict[str, Counter] = {}
@@ -127,7 +139,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     columns are ignored. ``path`` must exist on every executor. No begin or
     end tokens, truncation or padding; a special string inside a text is one
     token, the tokenizer's default. Returns one row per row: ``doc_id``,
-    ``n_bytes`` (UTF-8), ``n_tokens``, ``over_limit`` (n_tokens > limit).
+    ``n_bytes`` (UTF-8), ``n_tokens``, ``over_limit`` (n_tokens > limit), repeated
+    rows too; an empty table gives none.
     """
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     return texts.mapInArrow(_count(path, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
