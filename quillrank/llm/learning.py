@@ -30,3 +30,13 @@ def sample_labels(labels: DataFrame, column: str, rows: int) -> DataFrame:
     each = _learnable(labels, column)
     mixed = F.xxhash64("id", F.lit(17))
     return each.where("y = 1").orderBy(mixed, "id").limit(rows).union(each.where("y = 0").orderBy(mixed, "id").limit(rows))
+
+
+def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` (null: empty), ``y``: one row per sampled id that ``docs`` has.
+
+    Of the texts of a repeated id the smallest counts.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    chosen = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("id"))  # the sample's bound holds
+    return chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))

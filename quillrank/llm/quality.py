@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learning import class_counts, held_out, sample_labels
+from .learning import class_counts, held_out, labelled_texts, sample_labels
 from .storage import stored
 from .words import Words, chunks
 
@@ -150,11 +150,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Qua
     """Fit on at most ``rows`` labelled documents of each class.
 
     Where a class has more, its rows weigh as much as all its labels do, so
-    that scores follow the labels' shares. Rows held out by id are never used. With labels of one class or none the
-    score is constant (that class's, or 0.5).
+    that scores follow the labels' shares. Rows held out by id are never used.
+    Of the texts of a repeated id the smallest counts. With labels of one class
+    or none, or no documents, the score is constant (that class's, or 0.5).
     """
-    sample = F.broadcast(sample_labels(labels, "quality", rows))
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(sample, F.col("doc_id") == F.col("id"))
+    chosen = labelled_texts(docs, sample_labels(labels, "quality", rows))
     fold = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)).cast("int")
     data = chosen.select("text", "y", fold.alias("fold")).mapInArrow(_fit_rows, "y int, fold int, stats array<double>")
     data = stored(data.repartition(SUM_PARTITIONS), "statistics")
