@@ -4,7 +4,13 @@ Words enter as the mean of hashed character-gram embeddings, a hashed word
 embedding and log-odds of both in the labelled sample. Two gated recurrent
 layers read each window of 32 words forwards and backwards; attention pools
 their states into one logit. All overlapping windows of a text are scored and
-its largest logit, with the number of windows, gives the probability.
+its largest logit, with the number of windows, gives the probability. Windows
+start every 16 words, so a stretch of up to 17 words lies whole in one of them;
+longer ones may be cut, with 16 words in both windows at least.
+
+A text's label is that of its strongest window: every epoch scores all windows
+of all labelled texts, long ones too, and learns from each text's strongest one
+(and, for clean texts, from some others, which must be clean as well).
 """
 
 from __future__ import annotations
@@ -18,19 +24,18 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learning import held_out, sample_labels
-from .words import Words, chunks, mixed
+from .learning import held_out, labelled_texts, sample_labels
+from .words import CHUNK_BYTES, Words, chunks, mixed
 
-#: Labelled rows of each class that a fit uses at most, and the longest text
-#: (bytes) among them, which bounds what the driver holds.
-FIT_ROWS, FIT_BYTES = 800, 20_000
-WINDOW, STRIDE, HIDDEN, CHARS, WORDS_DIM = 32, 24, 8, 8, 4
+#: Labelled rows of each class that a fit uses at most.
+FIT_ROWS = 800
+WINDOW, STRIDE, HIDDEN, CHARS, WORDS_DIM = 32, 16, 8, 8, 4
 GRAMS, BUCKETS = 1 << 15, 1 << 14
 EPOCHS, BATCH, RATE, DECAY = 6, 64, 0.01, 1e-3
 #: Texts that count for a bucket before it is seen, shared by both classes.
 PSEUDO = 4.0
-#: Windows of each class's row that a fit learns from.
-FIT_WINDOWS = 3
+#: Windows of a clean text that an epoch adds to its strongest one; any will do.
+CLEAN_WINDOWS = 2
 LOWEST = -8.0
 
 
@@ -72,19 +77,28 @@ class Odds:
     words: np.ndarray
 
     @classmethod
-    def count(cls, w: Words, y: np.ndarray, use: np.ndarray) -> Odds:
-        tables = []
-        firsts = np.arange(len(w.start))
-        grams, size = grams_of(w, firsts)
-        for bucket, of, width in ((grams, np.repeat(w.doc, size), GRAMS), ((w.hashes % np.uint64(BUCKETS)).astype(np.int64), w.doc, BUCKETS)):
-            seen = np.unique(bucket * len(y) + of)
-            doc = seen % len(y)
-            seen, doc = seen[use[doc]], doc[use[doc]]
-            have = [np.bincount(seen[y[doc] == k] // len(y), minlength=width) for k in (0, 1)]
-            rows = [max(int((use & (y == k)).sum()), 1) for k in (0, 1)]
+    def count(cls, texts: list[list[str]], y: np.ndarray, uses: list[np.ndarray]) -> list[Odds]:
+        """One table for each subset of the texts (``uses``: masks); ``texts`` come in parts."""
+        have = [[np.zeros((2, width)) for width in (GRAMS, BUCKETS)] for _ in uses]
+        at = 0
+        for part in texts:
+            w = Words(pa.array(part, pa.string()))
+            own = slice(at, at + len(part))
+            at += len(part)
+            grams, size = grams_of(w, np.arange(len(w.start)))
+            for j, (bucket, of, width) in enumerate(((grams, np.repeat(w.doc, size), GRAMS), ((w.hashes % np.uint64(BUCKETS)).astype(np.int64), w.doc, BUCKETS))):
+                seen = np.unique(bucket * len(part) + of)
+                doc = seen % len(part)
+                for k, use in enumerate(uses):
+                    for label in (0, 1):
+                        chosen = use[own][doc] & (y[own][doc] == label)
+                        have[k][j][label] += np.bincount(seen[chosen] // len(part), minlength=width)
+        out = []
+        for k, use in enumerate(uses):
+            rows = [max(int((use & (y == label)).sum()), 1) for label in (0, 1)]
             least = PSEUDO / sum(rows)
-            tables.append(np.log((have[1] / rows[1] + least) / (have[0] / rows[0] + least)).astype(np.float32))
-        return cls(*tables)
+            out.append(cls(*[np.log((t[1] / rows[1] + least) / (t[0] / rows[0] + least)).astype(np.float32) for t in have[k]]))
+        return out
 
 
 def _inputs(w: Words, first: np.ndarray, p: dict[str, np.ndarray], odds: Odds):
@@ -271,31 +285,81 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
-def train(texts: list[str], y: np.ndarray, prior: float) -> ToxicityModel:
-    """Fit the network to whole texts with labels ``y``."""
+def _parts(texts: list[str], most: int = CHUNK_BYTES) -> list[list[str]]:
+    """The texts in runs of about ``most`` characters (one text at least)."""
+    out, size = [[]], 0
+    for t in texts:
+        if out[-1] and size + len(t) > most:
+            out.append([])
+            size = 0
+        out[-1].append(t)
+        size += len(t)
+    return [p for p in out if p]
+
+
+def _strongest(texts: list[list[str]], y: np.ndarray, strength, rng: np.random.Generator) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Windows to learn from with their texts, and each text's largest strength and windows.
+
+    ``strength(w, first, many, text)`` rates windows. Every text gives its strongest
+    one, a clean text some others too.
+    """
+    chosen, source, best, count, at = [], [], np.full(len(y), LOWEST), np.zeros(len(y), np.int64), 0
+    for part in texts:
+        w = Words(pa.array(part, pa.string()))
+        first, many, of = windows_of(w)
+        if len(first):
+            rate = strength(w, first, many, at + of)
+            np.maximum.at(best, at + of, rate)
+            count[at : at + len(part)] = np.bincount(of, minlength=len(part))
+            order = np.lexsort((-rate, of))
+            top = order[np.searchsorted(of[order], np.unique(of))]
+            begin = np.cumsum(count[at : at + len(part)]) - count[at : at + len(part)]
+            clean = np.flatnonzero((y[at : at + len(part)] == 0) & (count[at : at + len(part)] > 1))
+            other = (begin[clean, None] + rng.integers(0, count[at + clean][:, None], (len(clean), CLEAN_WINDOWS))).ravel()
+            for i in np.concatenate([top, np.setdiff1d(other, top)]):
+                chosen.append(w.data[w.start[first[i]] : w.end[first[i] + many[i] - 1]].tobytes())
+                source.append(at + of[i])
+        at += len(part)
+    return chosen, np.array(source, np.int64), best, count
+
+
+def train(texts: list[str], y: np.ndarray, prior: float, use_odds: bool = True) -> ToxicityModel:
+    """Fit the network to whole texts with labels ``y``.
+
+    Without ``use_odds`` the log-odds inputs are zero (to tell what they add).
+    """
     if len(set(y.tolist())) < 2:
         share = min(max(float(y.mean()) if len(y) else prior, 0.01), 0.99)
         return ToxicityModel({}, None, (0.0, 0.0, float(np.log(share / (1 - share)))))
-    w = Words(pa.array(texts, pa.string()))
+    parts = _parts(texts)
     half = mixed(np.arange(len(y), dtype=np.uint64) + np.uint64(9)) % np.uint64(2) == 0
-    odds = Odds.count(w, y, np.ones(len(y), bool))
-    crossed = [Odds.count(w, y, ~half), Odds.count(w, y, half)]  # each half sees the other's odds
-    first, many, of = windows_of(w)
-    every = np.arange(len(w.start))
+    odds, *crossed = Odds.count(parts, y, [np.ones(len(y), bool), ~half, half])  # each half sees the other's odds
+    if not use_odds:
+        odds, crossed = Odds(odds.grams * 0, odds.words * 0), [Odds(o.grams * 0, o.words * 0) for o in crossed]
     p = _start()
-    inside_half = half[w.doc]
-    by_odds = [_inputs(w, every, p, o)[0][:, -3:] for o in crossed]
-    extra = np.where(inside_half[:, None], by_odds[0], by_odds[1])
-    strength = np.concatenate([[0], np.cumsum(np.maximum(extra[:, 2], 0) + np.maximum(extra[:, 0], 0))])
-    told = (strength[first + many] - strength[first]) + (mixed(np.arange(len(of), dtype=np.uint64)) % np.uint64(1000)) / 1e6
-    order = np.lexsort((-told, of))
-    place = np.arange(len(order)) - np.searchsorted(of[order], of[order])
-    chosen = order[place < FIT_WINDOWS]
+
+    def told(w: Words, first: np.ndarray, many: np.ndarray, text: np.ndarray) -> np.ndarray:
+        by_odds = [_inputs(w, np.arange(len(w.start)), p, o)[0][:, -3:] for o in crossed]
+        sums = [np.concatenate([[0], np.cumsum(np.maximum(x[:, 2], 0) + np.maximum(x[:, 0], 0))]) for x in by_odds]
+        return np.where(half[text], *[x[first + many] - x[first] for x in sums])
+
+    def scored(w: Words, first: np.ndarray, many: np.ndarray, text: np.ndarray) -> np.ndarray:
+        out = np.empty(len(first), np.float32)
+        for side, o in ((half[text], crossed[0]), (~half[text], crossed[1])):
+            if side.any():
+                out[side] = ToxicityModel(p, o, (1.0, 0.0, 0.0)).window_logits(w, first[side], many[side])
+        return out
+
     rng = np.random.Generator(np.random.PCG64(3))
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
     step = 0
-    for _ in range(EPOCHS):
-        for part in np.array_split(rng.permutation(chosen), max(1, len(chosen) // BATCH)):
+    for epoch in range(EPOCHS):
+        chosen, source, _, _ = _strongest(parts, y, scored if epoch else told, rng)
+        w = Words(pa.array(chosen, pa.binary()).cast(pa.string()))
+        first, many, every = w.first[:-1], w.counts, np.arange(len(w.start))
+        by_odds = [_inputs(w, every, p, o)[0][:, -3:] for o in crossed]
+        extra = np.where(half[source[w.doc]][:, None], *by_odds)
+        for part in np.array_split(rng.permutation(len(chosen)), max(1, len(chosen) // BATCH)):
             steps = np.arange(WINDOW)[:, None]
             mask = (steps < many[part]).astype(np.float32)
             words = np.where(mask > 0, np.minimum(first[part] + steps, len(every) - 1), first[part])
@@ -305,7 +369,7 @@ def train(texts: list[str], y: np.ndarray, prior: float) -> ToxicityModel:
             x[:, -3:] = extra[own]
             projected = {d: x @ p[f"w{d}"] + p[f"b{d}"] for d in "fb"}
             logit, saved = _forward(p, projected, index, mask)
-            delta = ((_sigmoid(logit) - y[of[part]]) / len(part)).astype(np.float32)
+            delta = ((_sigmoid(logit) - y[source[part]]) / len(part)).astype(np.float32)
             g = _backward(p, projected, index, mask, saved, delta)
             dx = 0
             for d in "fb":
@@ -321,10 +385,7 @@ def train(texts: list[str], y: np.ndarray, prior: float) -> ToxicityModel:
                 s += 0.001 * (v**2 - s)
                 p[k] -= (RATE * DECAY * p[k] + RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-6)).astype(np.float32)
     model = ToxicityModel(p, odds, (1.0, 0.0, 0.0))
-    best = np.zeros(len(y))
-    for k, side in ((0, half), (1, ~half)):
-        got, n_windows = ToxicityModel(p, crossed[k], (1.0, 0.0, 0.0)).logits(w)
-        best[side] = got[side]
+    _, _, best, n_windows = _strongest(parts, y, scored, rng)
     x = np.column_stack([best, np.log(np.maximum(n_windows, 1)), np.ones(len(y))])
     share = y.mean()
     weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
@@ -332,19 +393,15 @@ def train(texts: list[str], y: np.ndarray, prior: float) -> ToxicityModel:
     return model
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> ToxicityModel:
-    """Fit on at most ``rows`` labelled documents of each class.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, use_odds: bool = True) -> ToxicityModel:
+    """Fit on at most ``rows`` labelled documents of each class, whole texts.
 
-    Of these, texts above FIT_BYTES bytes are left out of the fit (they are
-    scored whole all the same). Rows held out by id are never used. With one
-    class or none the score is constant.
+    Rows held out by id are never used. Of the texts of a repeated id the
+    smallest counts. With one class or none the score is constant.
     """
-    sample = F.broadcast(sample_labels(labels, "toxic", rows))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows_ = texts.where(F.octet_length("text") <= FIT_BYTES).join(sample, F.col("doc_id") == F.col("id")).select("doc_id", "text", "y").toPandas()
-    rows_ = rows_.sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    found = labelled_texts(docs, sample_labels(labels, "toxic", rows)).orderBy("doc_id").toPandas()  # 2 * rows at most
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).agg(F.avg("toxic")).first()[0]
-    return train(rows_.text.tolist(), rows_.y.to_numpy(np.int64), min(max(known or 0.5, 0.01), 0.99))
+    return train(found.text.tolist(), found.y.to_numpy(np.int64), min(max(known or 0.5, 0.01), 0.99), use_odds)
 
 
 def _score(shared: Broadcast):
@@ -362,6 +419,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are ignored. Null,
     empty and wordless texts have no window and score as the least toxic one.
+    Repeated rows stay; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
