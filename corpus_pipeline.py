@@ -7,17 +7,17 @@ All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.llm.decontamination import contained_items
-from quillrank.llm.mixing import entropy_mix
+from quillrank.llm.mixing import mixed_documents
 from quillrank.llm.near_dedup import near_duplicates
 from quillrank.llm.quality import fit_quality, keep_quality
 from quillrank.llm.sharding import shard_documents
 from quillrank.llm.storage import stored
 
-#: Up to so many ids of dropped or mixed documents are broadcast.
+#: Up to so many ids of dropped or repeated documents are broadcast.
 BROADCAST_IDS = 500_000
 #: No SQL expresses the trained classifier.
 ORACLE_SQL = None
@@ -27,11 +27,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the listed ids; null ids stay."""
-    dropped = stored(ids.select(F.col(ids.columns[0]).cast("long").alias("__dropped")).distinct(), "dropped")
+def _row(docs: DataFrame) -> Column:
+    """A row's own number: a hash of its document; equal documents have equal ones."""
+    return F.xxhash64(F.col("doc_id"), F.col("text"))
+
+
+def _without(docs: DataFrame, rows: DataFrame, key: Column) -> DataFrame:
+    """``docs`` without those whose ``key`` is in ``rows``."""
+    dropped = stored(rows.select(F.col(rows.columns[0]).alias("__dropped")).distinct(), "dropped")
     few = dropped.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(dropped) if few else dropped, docs["doc_id"] == F.col("__dropped"), "left_anti")
+    return docs.join(F.broadcast(dropped) if few else dropped, key == F.col("__dropped"), "left_anti")
+
+
+def _one_each(docs: DataFrame) -> DataFrame:
+    """One row of each document that repeats (equal id and text); only these move."""
+    again = docs.groupBy(_row(docs).alias("__again")).agg(F.count("*").alias("__n")).where("__n > 1").select("__again")
+    again = stored(again, "repeated")
+    few = again.count()
+    if not few:
+        return docs
+    listed = F.broadcast(again) if few <= BROADCAST_IDS else again
+    marked = docs.withColumn("__row", _row(docs))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    once = marked.join(listed, F.col("__row") == F.col("__again"), "left_anti").select(*names)
+    many = marked.join(listed, F.col("__row") == F.col("__again"), "left_semi").groupBy("__row").agg(F.min(F.struct(*names)).alias("__first"))
+    return once.union(many.select(*[F.col(f"__first.`{c}`").alias(c) for c in docs.columns]))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,21 +60,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each group of near duplicates."""
-    return _without(docs, near_duplicates(docs).where("not kept").select("doc_id"))
+    """One document, of the smallest id, of each group of near duplicates.
+
+    Repeated rows count once. Where ids repeat or are null, documents are
+    told apart by id and text, and the one of the smallest hash stays.
+    """
+    rows = _one_each(docs)
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
+    if not ids:
+        return _without(rows, near_duplicates(rows).where("not kept").select("doc_id"), F.col("doc_id"))
+    named = rows.select(_row(rows).alias("doc_id"), "text")
+    return _without(rows, near_duplicates(named).where("not kept").select("doc_id"), _row(rows))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return _without(docs, contained_items(docs, _table(spark, sf_dir, "benchmark")).select("doc_id"))
+    named = docs.select(_row(docs).alias("doc_id"), "text")
+    return _without(docs, contained_items(named, _table(spark, sf_dir, "benchmark")).select("doc_id"), _row(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the target mix takes it."""
-    mix = entropy_mix(docs).select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies")).where("__copies > 0").groupBy("__id").agg(F.max("__copies").alias("__copies"))
-    taken = docs.join(mix, docs["doc_id"].eqNullSafe(F.col("__id")))
-    repeated = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mixed_documents(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
