@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from quillrank.llm import near_dedup, quality, substring_dedup, token_counts, toxicity, warc
-from quillrank.llm.decontamination import probes_of
+from quillrank.llm.decontamination import FIRST, partition_of
 from quillrank.llm.sharding import granted_moves
 from quillrank.llm.words import Words, chunks
 
@@ -58,10 +58,9 @@ def test_odd_sketches_estimate_high_similarity():
         assert low <= bits <= high
 
 
-def test_probes_cannot_all_be_missing():
-    for size in range(1, 200):
-        most_missing = size - -(-80 * size // 100)
-        assert probes_of(size, 80) == most_missing + 1
+def test_blocks_are_at_most_twice_an_item():
+    assert {partition_of(n) for n in range(1, FIRST)} == {1}
+    assert all(n < partition_of(n) <= 2 * n for n in range(FIRST, 5000))
 
 
 def test_compact_windows_partition_all_long_subsequences(monkeypatch):
@@ -84,9 +83,9 @@ def test_passages_are_found_and_verified():
     rng = np.random.default_rng(5)
     a, b = rng.integers(0, 2**30, 400).astype(np.int32), rng.integers(0, 2**30, 300).astype(np.int32)
     b[100:160] = a[200:260]
-    assert substring_dedup.passages(a, b, 100, 150, 300) == [(200, 260, 100, 160, 1.0)]
+    assert substring_dedup.Pair(a, b).passages(100, 150, 300) == [(200, 260, 100, 160, 1.0)]
     b[100:160:3] = 7
-    assert substring_dedup.passages(a, b, 100, 150, 300) == []
+    assert substring_dedup.Pair(a, b).passages(100, 150, 300) == []
 
 
 def test_isotonic_is_monotone_and_pools():

@@ -2,7 +2,10 @@
 
 import hashlib
 import io
+import math
 import random
+import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -89,6 +92,43 @@ def test_near_duplicates_without_a_common_pivot(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def test_near_duplicates_of_odd_tables(spark, empty):
+    assert near_dedup.near_duplicates(empty).count() == 0
+    t, u = " ".join(words(40, 1)), " ".join(words(40, 2))
+    rows = [(4, t), (4, t), (3, t), (None, t), (7, u), (9, None), (8, "")]
+    got = sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [("3", 3, True), ("4", 3, False), ("4", 3, False), ("7", 7, True), ("8", 8, True), ("9", 9, True), ("None", None, True)]
+
+
+def test_near_copies_in_one_large_bucket(spark):
+    """Hundreds of near copies of one text, many of which link with few others."""
+    base, rows = words(150, 31), []
+    for i in range(300):
+        rng = random.Random(i)
+        w = list(base)
+        for k in rng.sample(range(150), rng.randrange(0, 14)):
+            w[k] = rng.choice(["red", "blue", f"e{i}x{k}"])
+        rows.append((i, " ".join(w)))
+    want, _ = components(rows, 4)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), n=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) > 3
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs just at similarity 0.8: bands and sketches together lose none of 1500."""
+    rows = []
+    for k in range(1500):
+        w = words(94, f"r{k}")
+        edited = list(w)
+        for at in (10, 60) if k % 2 else (5, 80):
+            edited[at] = "other"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(edited))]
+    near = [100 * len(a & b) / len(a | b) for a, b in ((shingles(rows[i][1], 5), shingles(rows[i + 1][1], 5)) for i in range(0, 3000, 2))]
+    assert min(near) >= 80 and max(near) < 81
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sum(r["component_id"] != r["doc_id"] - r["doc_id"] % 2 for r in got) == 0
+
+
 def test_contained_items(spark, docs, empty):
     items = spark.createDataFrame([(0, " ".join(words(60, 3))), (1, " ".join(words(30, 77))), (2, None), (3, ""), (4, "two words"), (5, " ".join(words(120, 1)[30:80]))], "item_id long, text string")
     want = set()
@@ -97,13 +137,42 @@ def test_contained_items(spark, docs, empty):
             a, b = shingles(t, 5), shingles(s, 5)
             if b and 100 * len(a & b) >= 80 * len(b):
                 want.add((i, j, len(b), len(a & b)))
-    for limit in (10**6, 0):
-        got = decontamination.contained_items(docs, items, broadcast_shingles=limit).collect()
+    for limit in (10**6, 40):
+        got = decontamination.contained_items(docs, items, block_shingles=limit).collect()
         assert {(r["doc_id"], r["item_id"], r["item_shingles"], r["shared"]) for r in got} == want
     assert decontamination.contained_items(empty, items).count() == decontamination.contained_items(docs, items.limit(0)).count() == 0
 
 
-def test_repeated_passages(docs):
+def test_containment_recall(spark):
+    """Items of every size, scattered over long documents with a fifth missing."""
+    rng, docs_, items, want = random.Random(6), [], [], set()
+    for k in range(300):
+        n = rng.randrange(1, 150)
+        item = words(n + 4, f"i{k}")
+        items.append((k, " ".join(item)))
+        doc, at = words(rng.randrange(0, 40), f"d{k}"), 0
+        while at < len(item):
+            size = rng.randrange(20, 60) if n > 40 else len(item)
+            doc += item[max(0, at - 4) : at + size] + words(rng.randrange(5, 400), f"d{k}x{at}")
+            at += size + (1 if n > 40 else 0)
+        docs_.append((k, " ".join(doc)))
+        a, b = shingles(docs_[-1][1], 5), shingles(items[-1][1], 5)
+        if 100 * len(a & b) >= 80 * len(b):
+            want.add((k, k))
+    got = decontamination.contained_items(spark.createDataFrame(docs_, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and len(want) > 250
+
+
+def test_repeated_items_and_documents(spark):
+    t, u = " ".join(words(30, 1)), " ".join(words(30, 2))
+    items = spark.createDataFrame([(1, t), (1, t), (2, u), (2, t), (None, t)], "item_id long, text string")
+    docs_ = spark.createDataFrame([(5, f"{t} {u}"), (5, f"{t} {u}"), (6, t), (None, u), (7, None)], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["item_id"], r["item_shingles"]) for r in decontamination.contained_items(docs_, items).collect())
+    assert got == [("5", 1, 26), ("5", 2, 52), ("6", 1, 26)]
+
+
+def test_repeated_passages(docs, empty):
+    assert substring_dedup.repeated_passages(empty).count() == 0
     rows = substring_dedup.repeated_passages(docs).collect()
     texts = dict(corpus())
     places = defaultdict(set)
@@ -160,6 +229,51 @@ def test_exact_passage_beside_drifted_variants(spark):
     assert [k for k in range(150) if min(covered(rows, 5 * k + v, 60, 110) for v in (3, 4)) < 1] == []
 
 
+def test_passages_of_repeated_ids(spark):
+    p = words(60, "p")
+    rows = [(1, " ".join(words(70, "a") + p)), (1, " ".join(words(70, "a") + p)), (1, " ".join(words(55, "b"))), (2, " ".join(p + words(20, "c"))), (None, " ".join(p))]
+    got = {(r["doc_id"], r["other_id"], r["n_words"]) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 2, 60), (2, 1, 60)}
+
+
+def test_windows_of_texts_beyond_a_segment(monkeypatch):
+    import numpy as np
+
+    values = np.random.Generator(np.random.PCG64(1)).integers(0, 900, 5000).astype(np.uint64)
+    edges, salt = np.array([0, 3100, 3120, 5000]), np.uint64(77)
+    whole = substring_dedup.compact_windows(values, edges, salt)
+    monkeypatch.setattr(substring_dedup, "SEGMENT", 256)
+    assert all((a == b).all() for a, b in zip(whole, substring_dedup.compact_windows(values, edges, salt), strict=True))
+
+
+def test_edits_leave_a_long_aligned_run():
+    """A passage at similarity 0.8 has ALIGNED places in one alignment at least."""
+    rng = random.Random(12)
+    tried = 0
+    for _ in range(4000):
+        own = list(range(rng.randrange(50, 150)))
+        other = list(own)
+        for _ in range(rng.randrange(0, 6)):
+            at, kind = rng.randrange(len(other)), rng.randrange(4)
+            if kind == 0:
+                other[at] = -rng.randrange(1, 10**6)
+            elif kind == 1:
+                del other[at]
+            elif kind == 2:
+                other.insert(at, -rng.randrange(1, 10**6))
+            else:
+                to = rng.randrange(len(other))
+                part = other[at : at + 12]
+                other[at : at + 12] = []
+                other[to:to] = part
+        a, b = ([tuple(x[i : i + 5]) for i in range(len(x) - 4)] for x in (own, other))
+        if min(len(a), len(b)) >= substring_dedup.LEAST and len(set(a) & set(b)) * 100 >= 80 * len(set(a) | set(b)):
+            tried += 1
+            shifts = Counter(i - b.index(x) for i, x in enumerate(a) if x in b)
+            assert max(shifts.values()) >= substring_dedup.ALIGNED
+    assert tried > 1000
+
+
 def test_fingerprints(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 8)
     rows = sorted(fingerprints.fingerprint_edits(docs).collect(), key=lambda r: r["doc_id"])
@@ -177,10 +291,34 @@ def test_fingerprints(spark, docs, empty, monkeypatch):
     one = fingerprints.fingerprint_edits(docs.where("doc_id = 8")).first()
     assert one["near_next"] == 1.0
     pair = spark.createDataFrame([("a\nb\n\nc", "a\nB\n\nc")], "x string, y string")
+    again = docs.union(docs.where("doc_id in (1, 6)")).union(docs.where("doc_id = 1").withColumn("text", F.lit("unequal")))
+    twice = [sorted(map(str, fingerprints.fingerprint_edits(d).collect())) for d in (again, again.repartition(7))]
+    assert len(twice[0]) == again.count() and twice[0] == twice[1]
     both = fingerprints.fingerprints(fingerprints.fingerprints(pair, "x").withColumnRenamed("tree", "p"), "y")
     assert both.select(fingerprints.differing(F.col("p"), F.col("tree")).alias("d")).first()["d"] == [1]
 
 
+def leaves(line):
+    return re.findall(r"[^.!?]{0,15}[.!?]|[^.!?]{1,16}", line)
+
+
+def test_likeness_against_brute_force(spark):
+    """Weighted Dice of all nodes as multisets; only equal texts have 1."""
+    rng = random.Random(4)
+    texts = ["", "a.b.a.b.", "a.b.", "b.a.", "x\n\ny", "y\n\nx", "same words " * 30, "same words " * 31, "\n", "é" * 40]
+    texts += ["\n".join(" ".join(rng.choice(["one", "two.", "three", "four!"]) for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(1, 5))) for _ in range(10)]
+    pairs = [(a, b) for a in texts for b in texts]
+    both = fingerprints.with_tree(fingerprints.with_tree(spark.createDataFrame(pairs, "a string, b string"), F.col("a"), "p"), F.col("b"), "q")
+    names = ["a", "b", "p_paragraphs", "p_sections", "p_root", "q_paragraphs", "q_sections", "q_root"]
+    for r in both.select(*names, fingerprints.likeness(F.col("p_marks"), F.col("q_marks")).alias("near")).collect():
+        x, y = (
+            Counter((leaf, len(leaf)) for line in r[t].split("\n") for leaf in leaves(line)) + Counter((p, 1) for p in [*r[f"{k}_paragraphs"], *(("s", s) for s in r[f"{k}_sections"]), ("root", r[f"{k}_root"])])
+            for t, k in (("a", "p"), ("b", "q"))
+        )
+        weigh = lambda c: sum(node[1] * n for node, n in c.items())
+        assert r["near"] == pytest.approx(2 * weigh(x & y) / (weigh(x) + weigh(y))) and (r["near"] == 1) == (r["a"] == r["b"])
+
+
 def test_mix(docs, empty):
     rows = mixing.entropy_mix(docs).collect()
     sizes = Counter()
@@ -205,15 +343,52 @@ def test_mix(docs, empty):
         assert r["taken"] <= 2 * r["size"] and r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(target[r["source"]])
     largest = max(len(plain(t)) for _, t in corpus())
     assert all(abs(taken[s] - target[s]) <= largest for s in order)
-    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.entropy_mix(docs.repartition(7)).collect()), key=lambda r: r) or len(rows) == len(corpus())
-    assert mixing.entropy_mix(empty).count() == 0
-
-
-def test_base_rates_tilt(spark):
-    rows = spark.createDataFrame([(i, "a b c d", "s") for i in range(400)], "doc_id long, text string, source string")
-    base = F.when(F.col("doc_id") % 2 == 0, 2.0).otherwise(0.5)
-    rates = {r["doc_id"] % 2: r["rate"] for r in mixing.entropy_mix(rows, share=1.0, base=base).collect()}
-    assert rates[0] == pytest.approx(4 * rates[1]) and rates[0] + rates[1] == pytest.approx(2)
+    assert len(rows) == len(corpus()) and sorted(map(str, rows)) == sorted(map(str, mixing.entropy_mix(docs.repartition(7)).collect()))
+    assert mixing.entropy_mix(empty).count() == mixing.mixed_documents(empty).count() == 0
+    whole = mixing.mixed_documents(docs)
+    assert whole.columns == docs.columns and Counter(r["doc_id"] for r in whole.collect()) == Counter({r["doc_id"]: r["copies"] for r in rows if r["copies"]})
+
+
+def dense_rates(sizes, target, cap=2.0):
+    """min(cap, exp(lambda * size)) that meets the target, by bisection."""
+    low, high = math.log(target / sum(sizes)) if target < sum(sizes) else 0.0, math.log(cap)
+    for _ in range(200):
+        mid = (low + high) / 2
+        if sum(min(cap, math.exp(min(mid * s, 50))) * s for s in sizes) < target:
+            low = mid
+        else:
+            high = mid
+    return [min(cap, math.exp(min(low * s, 50))) for s in sizes]
+
+
+def test_mix_rates_balance(spark):
+    """Rates differ within a source and equal those of a dense solver."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * int(rng.lognormvariate(3, 1))), f"s{i % 4}") for i in range(800)]
+    got = mixing.entropy_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in ("s0", "s1", "s2", "s3"):
+        own = sorted((r for r in got if r["source"] == source), key=lambda r: r["doc_id"])
+        if own[0]["target"] < 2 * own[0]["source_size"] - 1e-6:
+            want = dense_rates([r["size"] for r in own], own[0]["target"])
+            assert [r["rate"] for r in own] == pytest.approx(want, rel=1e-5) and max(want) - min(want) > 0.1
+        else:
+            assert {r["rate"] for r in own if r["size"]} == {2.0}
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 3 and all(r["copies"] <= 2 for r in own)
+
+
+def test_mix_repeated_rows(spark):
+    """Rows of one id are documents of their own; the copies are the mix's."""
+    rows = [(1, "a b c d e", "s", "x")] * 60 + [(2 + i // 2, f"t{i} " * (1 + i % 7), "s" if i % 2 else None, "y") for i in range(100)] + [(None, "a b", "s", "z"), (None, None, None, None)] + [(1, "a b c d e", "s", "other")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rate string")
+    mix = mixing.entropy_mix(docs).collect()
+    assert len(mix) == len(rows)
+    want = Counter()
+    for r in mix:
+        want[(r["doc_id"], r["source"], r["size"])] += r["copies"]
+    for deal in (1, 5):
+        got = Counter((r["doc_id"], r["source"], len(plain(r["text"]))) for r in mixing.mixed_documents(docs.repartition(deal)).collect())
+        assert got == +want
+    assert max(Counter((r["doc_id"], r["text"], r["rate"]) for r in mixing.mixed_documents(docs).collect()).values()) <= 120
 
 
 def test_shards(docs, empty):
@@ -226,6 +401,9 @@ def test_shards(docs, empty):
     texts = dict(corpus())
     assert all(r["size"] == len((texts[r["doc_id"]] or "").encode()) + 1 for r in rows)
     assert sharding.shard_documents(empty).count() == 0
+    again = docs.union(docs.where("doc_id < 9"))
+    first, second = ([tuple(r) for r in sharding.shard_documents(d).collect()] for d in (again.repartition(5), again.repartition(2, "source")))
+    assert len(first) == again.count() and sorted(map(str, first)) == sorted(map(str, second))
 
 
 def test_small_groups_stay_together(spark):
@@ -250,6 +428,26 @@ def test_token_counts(docs):
         assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((t or "").encode()), n > 512)
 
 
+def test_token_counts_of_odd_tables(spark, empty, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_counts.token_counts(empty, path).count() == 0
+    monkeypatch.setattr(token_counts, "REMEMBERED", 50)
+    counter, library = token_counts.Counter(path), Tokenizer.from_file(path)
+    for t in ["", "x" * 5000, "zqxj wvkq " * 20, "é漢字" * 300, "<|endoftext|> a", "x" * 5000]:
+        assert counter.counts([t, t]) == [len(library.encode(t, add_special_tokens=False).ids)] * 2 and counter.held <= 50 + 4 * len(t)
+
+
+def test_archives_of_repeated_pages(spark, tmp_path):
+    rows = [(3, "u", "z" * 200), (3, "u", "z" * 200), (5, "v", "z" * 200), (None, "w", "z" * 200)] + [(10 + i, "h", "q" * 150) for i in range(50)]
+    got = warc.read_archives(warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/r")).collect()
+    kinds = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in got)
+    want = Counter({(3, "response", None): 2, (5, "revisit", 3): 1, (None, "revisit", 3): 1, (10, "response", None): 1}) + Counter((11 + i, "revisit", 10) for i in range(49))
+    assert kinds == want
+
+
 def test_archives(spark, tmp_path):
     html = {1: "<p>" + "a" * 200, 2: "<p>" + "a" * 200, 3: "short", 4: "short", 5: None, 6: "", 7: "é" * 60, 0: "<p>" + "a" * 200}
     pages = spark.createDataFrame([(i, f"http://x/{i}" if i else None, h, "clash") for i, h in html.items()], "page_id long, url string, html string, digest string")
@@ -304,3 +502,98 @@ def test_quality_keeps_labels_shares_above_the_bound(spark):
         model = quality.fit_quality(docs, labelled, rows=bound)
         means.append(quality.quality_scores(docs, model).agg(F.avg("score")).first()[0])
     assert means[0] == pytest.approx(0.875, abs=0.04) and means[1] == pytest.approx(0.875, abs=0.04)
+
+
+def held(i):
+    return zlib.crc32(str(i).encode()) % 5 == 0
+
+
+def test_held_out_labels_change_no_score(spark):
+    """Labels of held-out rows, repeated ids and extra rows do not reach either fit."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["good", "day", "to", "you", "all"] + (["vile", "scum"] if i % 3 == 0 else [])) for _ in range(rng.randrange(5, 60)))) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, int(i % 4 != 0), int(i % 3 == 0)) for i, _ in rows]
+    flipped = [(i, 1 - q, 1 - t) if held(i) else (i, q, t) for i, q, t in labels]
+    results = []
+    for some in (labels, flipped):
+        table = spark.createDataFrame(some, "doc_id long, quality int, toxic int")
+        scores = [quality.quality_scores(docs, quality.fit_quality(docs, table)), toxicity.toxicity_scores(docs, toxicity.fit_toxicity(docs, table))]
+        results.append([sorted((r["doc_id"], r["held_out"], r["score"]) for r in s.collect()) for s in scores])
+    assert results[0] == results[1] and all(r[1] == held(r[0]) for part in results[0] for r in part)
+
+
+def test_toxicity(spark, empty):
+    """A fitted network finds a toxic stretch anywhere, in long labelled texts too."""
+    rng = random.Random(5)
+    calm = ["the", "house", "stands", "near", "a", "river", "with", "trees", "and", "birds"]
+    rows, labels = [], []
+    for i in range(400):
+        w = [rng.choice(calm) for _ in range(rng.randrange(20, 160) if i % 40 else 9000)]
+        if i % 4 == 0:
+            at = rng.randrange(len(w))
+            w[at:at] = [rng.choice(["vile", "scum", "filth", "idiots"]) for _ in range(8)]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 4 == 0)))
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    docs = spark.createDataFrame([*rows, (900, None), (901, ""), (901, ""), (None, "birds")], "doc_id long, text string")
+    model = toxicity.fit_toxicity(docs, table)
+    got = toxicity.toxicity_scores(docs, model).collect()
+    assert len(got) == 404 and all(0 <= r["score"] <= 1 for r in got)
+    own = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 400 and r["held_out"]]
+    assert sum(r["predicted"] == (r["doc_id"] % 4 == 0) for r in own) / len(own) > 0.95
+    assert {r["predicted"] for r in got if r["doc_id"] in (900, 901)} == {0}
+    assert toxicity.toxicity_scores(empty, model).count() == 0
+    assert quality.quality_scores(empty, quality.fit_quality(empty, table.withColumn("quality", F.col("toxic")))).count() == 0
+
+
+def test_window_scores_against_a_plain_network():
+    """The vectorised network equals a step-by-step one; a text's logit is its largest window's."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quillrank.llm.words import Words
+
+    p = toxicity._start()
+    rng = np.random.Generator(np.random.PCG64(2))
+    odds = toxicity.Odds(rng.normal(size=toxicity.GRAMS).astype(np.float32), rng.normal(size=toxicity.BUCKETS).astype(np.float32))
+    model = toxicity.ToxicityModel(p, odds, (1.0, 0.0, 0.0))
+    w = Words(pa.array([" ".join(words(n, n)) for n in (1, 5, 32, 33, 90)]))
+    first, many, of = toxicity.windows_of(w)
+    x, _ = toxicity._inputs(w, np.arange(len(w.start)), p, odds)
+    want = []
+    for f, m in zip(first, many, strict=True):
+        states = []
+        for d, own in (("f", x[f : f + m]), ("b", x[f : f + m][::-1])):
+            h, out = np.zeros(toxicity.HIDDEN), []
+            for v in own:
+                a, b = v @ p[f"w{d}"] + p[f"b{d}"], h @ p[f"u{d}"]
+                k = toxicity.HIDDEN
+                z, r = 1 / (1 + np.exp(-(a[:k] + b[:k]))), 1 / (1 + np.exp(-(a[k : 2 * k] + b[k : 2 * k])))
+                h = (1 - z) * np.tanh(a[2 * k :] + r * b[2 * k :]) + z * h
+                out.append(h)
+            states.append(out if d == "f" else out[::-1])
+        both = np.hstack(states)
+        weight = np.exp(np.tanh(both @ p["wa"]) @ p["va"])
+        want.append((weight / weight.sum()) @ both @ p["wo"] + p["bo"][0])
+    assert np.allclose(model.window_logits(w, first, many), want, atol=1e-4)
+    best, count = model.logits(w)
+    assert np.allclose(best, [max(np.array(want)[of == t]) for t in range(5)], atol=1e-4) and count.tolist() == np.bincount(of).tolist()
+
+
+def test_quality_scores_against_plain_sums(spark):
+    """Ridge weights equal those of the whole normal equations, solved at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["so", "it", "goes", "!!", "ON"][: 3 + 2 * (i % 2)]) for _ in range(rng.randrange(5, 50)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality.fit_quality(docs, spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int"))
+    own = [(i, t) for i, t in rows if not held(i)]
+    fold = {r["doc_id"]: r["f"] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)).alias("f")).collect()}
+    fit = [(i, t) for i, t in own if fold[i] != 0]
+    z = model.mapped(quality.statistics(pa.array([t for _, t in fit])))
+    y = np.array([1.0 - i % 2 for i, _ in fit])
+    want = np.linalg.solve(z.T @ z + quality.RIDGE * np.eye(z.shape[1]), z.T @ y)
+    assert np.allclose(model.weights, want, atol=1e-3)
