@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RRF_K, Source
+from .sparse import kept
 
 
 def _labelled(runs: dict[str, DataFrame], sources: list[Source]) -> DataFrame:
@@ -40,7 +41,7 @@ def fuse_with_tail(runs: dict[str, DataFrame], sources: list[Source], k: int = R
     The i-th of them scores 1e-9 * i below the last fused one (0 if none).
     """
     listed = _labelled(runs, sources)
-    prefix = _fused(listed, k).persist()  # the sources' depths a topic at most
+    prefix = kept(_fused(listed, k))  # the sources' depths a topic at most
     rest = listed.join(prefix.select("topic_id", "doc_no"), ["topic_id", "doc_no"], "left_anti")
     first = rest.groupBy("topic_id", "doc_no").agg(F.min(F.struct("place", "entry")).alias("at"))
     tail = first.withColumn("i", F.row_number().over(Window.partitionBy("topic_id").orderBy("at", "doc_no")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.text import body_terms
 
 
+#: Terms whose frequencies an index remembers.
+MOST_SEEN = 500_000
+
+
 @dataclass
 class Index:
     """``forward(doc_ord, doc_no, terms, doc_len)``, optionally ``postings(term, doc_ord, tf, doc_len)``.
@@ -20,6 +24,15 @@ class Index:
     forward: DataFrame
     postings: DataFrame | None = None
     vocab: DataFrame | None = None
+    known: tuple[int, float] | None = None
+    seen: dict[str, int] = field(default_factory=dict)
+
+    def totals(self) -> tuple[int, float]:
+        """Number of documents and their mean length, read once."""
+        if self.known is None:
+            row = self.statistics().first()
+            self.known = (row["n_docs"], row["avg_len"])
+        return self.known
 
     def statistics(self) -> DataFrame:
         """One row: ``n_docs``, ``avg_len`` (empty documents count)."""
@@ -38,6 +51,34 @@ class Index:
         words = self.forward.select("doc_ord", "doc_len", F.explode("terms").alias("term")).join(terms, "term", "left_semi")
         return words.groupBy("term", "doc_ord", "doc_len").agg(F.count("*").cast("int").alias("tf"))
 
+    def postings_in(self, names: list[str]) -> DataFrame:
+        """Postings of a bounded list of terms; a saved index reads only what may hold them."""
+        if self.postings is not None:
+            return self.postings.where(F.col("term").isin(names))
+        words = self.forward.select("doc_ord", "doc_len", F.explode(F.filter("terms", lambda t: t.isin(names))).alias("term"))
+        return words.groupBy("term", "doc_ord", "doc_len").agg(F.count("*").cast("int").alias("tf"))
+
+    def frequencies_in(self, names: list[str]) -> dict[str, int]:
+        """Document frequencies of a bounded list of terms (0: none); recent ones are remembered."""
+        new = [n for n in names if n not in self.seen]
+        if len(self.seen) + len(new) > MOST_SEEN:
+            self.seen.clear()
+            new = names
+        if new:
+            if self.vocab is not None:
+                found = self.vocab.where(F.col("term").isin(new))
+            else:
+                words = self.forward.select(F.explode(F.filter(F.array_distinct("terms"), lambda t: t.isin(new))).alias("term"))
+                found = words.groupBy("term").agg(F.count("*").alias("df"))
+            self.seen.update(dict.fromkeys(new, 0) | {r["term"]: r["df"] for r in found.collect()})
+        return {n: self.seen[n] for n in names}
+
+    def with_frequencies(self, rows: DataFrame) -> DataFrame:
+        """``rows(term, ...)`` of known terms with ``df``."""
+        if self.vocab is not None:
+            return rows.join(self.vocab, "term")
+        return rows.join(self.frequencies(rows.select("term").distinct()), "term")
+
     def frequencies(self, terms: DataFrame) -> DataFrame:
         """``term``, ``df`` of the given distinct terms that occur."""
         if self.vocab is not None:
@@ -46,13 +87,21 @@ class Index:
         return words.groupBy("term").agg(F.count("*").alias("df"))
 
     def save(self, path: str) -> None:
-        """Four tables below ``path``; postings sorted by term for pruned reads."""
+        """Five tables below ``path``.
+
+        ``forward`` is written first, so texts are tokenised once, and read back
+        for the others. Postings are ranged by term and document, so a frequent
+        term takes several ranges and a reader skips those without its terms;
+        forward documents are ranged by ordinal in files of their own.
+        """
+        spark = self.forward.sparkSession
         self.forward.write.parquet(f"{path}/forward")
-        postings = self.all_postings()
-        postings.repartitionByRange("term").sortWithinPartitions("term", "doc_ord").write.parquet(f"{path}/postings")
-        stored = self.forward.sparkSession.read.parquet(f"{path}/postings")
-        stored.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/vocab")
-        self.forward.select("doc_ord", "doc_no").write.parquet(f"{path}/documents")
+        index = Index(spark.read.parquet(f"{path}/forward"), self.postings)
+        index.all_postings().repartitionByRange("term", "doc_ord").sortWithinPartitions("term", "doc_ord").write.parquet(f"{path}/postings")
+        stored = spark.read.parquet(f"{path}/postings")
+        stored.groupBy("term").agg(F.count("*").alias("df")).sortWithinPartitions("term").write.parquet(f"{path}/vocab")
+        index.forward.select("doc_ord", "doc_no").write.parquet(f"{path}/documents")
+        index.statistics().write.parquet(f"{path}/statistics")
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
@@ -60,7 +109,8 @@ def load_index(spark: SparkSession, path: str) -> Index:
     forward = spark.read.parquet(f"{path}/forward")
     if forward.count() != spark.read.parquet(f"{path}/documents").count():
         raise ValueError(f"{path}: forward documents and document keys differ in number")
-    return Index(forward, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocab"))
+    row = spark.read.parquet(f"{path}/statistics").first()
+    return Index(forward, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocab"), (row["n_docs"], row["avg_len"]))
 
 
 def index_plain(docs: DataFrame) -> Index:

@@ -1,8 +1,9 @@
 """BM25, feedback expansion and passage reranking of many topics in one plan.
 
-What a plan reads twice (base scores, expansion terms, a ranking's prefix) is
-kept by the executors, recomputed if one is lost, until the session's cache
-is cleared. Scores are ranked at nine decimals, ties by the higher ordinal, so that the
+A bounded number of topic terms (``MOST_TERMS``) is weighed at once and pushed
+into the scans of a saved index; more are joined as tables. What a plan reads
+twice (base scores, a ranking's prefix) is kept by the executors, recomputed if
+one is lost, until ``release`` or the session's cache is cleared. Scores are ranked at nine decimals, ties by the higher ordinal, so that the
 order of a distributed sum cannot change a ranking.
 """
 
@@ -15,6 +16,23 @@ from ..config import Ranking
 from ..functions.scoring import bm25, idf
 from .index import Index
 
+#: Rows of topic terms, or documents of a feedback or passage prefix, that are listed on the driver at most.
+MOST_TERMS = 20_000
+_kept: list[DataFrame] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, held by the executors until ``release``."""
+    _kept.append(df.persist())
+    return df
+
+
+def release() -> None:
+    """Free what searches so far have kept; their frames recompute it if read again."""
+    while _kept:
+        _kept.pop().unpersist()
+
+
 def _best_first(partition: str = "topic_id") -> Window:
     return Window.partitionBy(partition).orderBy(F.round("score", 9).desc(), F.desc("doc_ord"))
 
@@ -30,11 +48,38 @@ def weighed(index: Index, terms: DataFrame) -> DataFrame:
     return found.where("df < n_docs").select("term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_len")
 
 
+def _bounded(rows: DataFrame, most: int = MOST_TERMS) -> list | None:
+    """The rows if they are at most ``most``, else None."""
+    listed = rows.limit(most + 1).collect()
+    return listed if len(listed) <= most else None
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """A bounded number of rows as a table of their own, so that they are computed once."""
+    here = _bounded(rows)
+    return rows if here is None else rows.sparkSession.createDataFrame(here, rows.schema)
+
+
+def gains(index: Index, terms: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """``topic_id, term, gain, avg_len`` of known terms; and their names, if bounded."""
+    wanted = terms.select("topic_id", "term", F.col("weight").cast("double").alias("weight"))
+    here = _bounded(wanted)
+    if here is None:
+        return wanted.join(weighed(index, terms), "term").select("topic_id", "term", (F.col("weight") * F.col("idf")).alias("gain"), "avg_len"), None
+    n_docs, avg_len = index.totals()
+    df = index.frequencies_in(sorted({r["term"] for r in here}))
+    rows = [(r["topic_id"], r["term"], r["weight"], df[r["term"]]) for r in here if 0 < df[r["term"]] < n_docs]
+    made = terms.sparkSession.createDataFrame(rows, f"topic_id {dict(terms.dtypes)['topic_id']}, term string, weight double, df long")
+    gain = (F.col("weight") * idf(F.lit(n_docs), F.col("df"))).alias("gain")
+    return made.select("topic_id", "term", gain, F.lit(float(avg_len)).alias("avg_len")), sorted({r[1] for r in rows})
+
+
 def matches(index: Index, terms: DataFrame) -> DataFrame:
     """``topic_id, term, doc_ord, tf, doc_len, avg_len, gain`` (weight * idf)."""
-    known = weighed(index, terms)
-    wanted = terms.join(known, "term")
-    return index.postings_of(known.select("term")).join(wanted, "term").withColumn("gain", F.col("weight") * F.col("idf"))
+    known, names = gains(index, terms)
+    if names is None:
+        return index.postings_of(known.select("term").distinct()).join(known, "term")
+    return index.postings_in(names).join(F.broadcast(known), "term")
 
 
 def score(found: DataFrame, k1: float | Column, b: float | Column, keys: tuple[str, ...] = ("topic_id", "doc_ord")) -> DataFrame:
@@ -51,6 +96,19 @@ def rank_bm25(index: Index, terms: DataFrame, ranking: Ranking = Ranking()) -> D
     return score(matches(index, terms), ranking.k1, ranking.b)
 
 
+def _documents(index: Index, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The forward documents that ``docs(topic_id, doc_ord, ...)`` lists, and the list.
+
+    A bounded list is pushed into the scan and broadcast, so a document that
+    several topics list is taken apart once.
+    """
+    here = _bounded(docs)
+    if here is None:
+        return index.forward.join(docs.select("doc_ord").distinct(), "doc_ord", "left_semi"), docs
+    few = docs.sparkSession.createDataFrame(here, docs.schema)
+    return index.forward.where(F.col("doc_ord").isin(sorted({r["doc_ord"] for r in here}))), F.broadcast(few)
+
+
 def expansion_terms(index: Index, terms: DataFrame, scores: DataFrame, ranking: Ranking = Ranking()) -> DataFrame:
     """``topic_id, term, weight`` that feedback adds to each topic.
 
@@ -65,11 +123,13 @@ def expansion_terms(index: Index, terms: DataFrame, scores: DataFrame, ranking:
     mass = F.sum(F.greatest("score", F.lit(0.0))).over(Window.partitionBy("topic_id"))
     voters = top(scores, r.feedback_docs).withColumn("mass", mass)
     voters = voters.select("topic_id", "doc_ord", F.when(F.col("mass") > 0, F.greatest("score", F.lit(0.0)) / F.when(F.col("mass") > 0, F.col("mass")).otherwise(1.0)).otherwise(F.lit(1.0) / F.col("rank")).alias("vote"))
-    words = index.forward.select("doc_ord", "terms", "doc_len").join(voters, "doc_ord").select("topic_id", "doc_ord", "vote", "doc_len", F.explode("terms").alias("term"))
-    counts = words.groupBy("topic_id", "doc_ord", "vote", "doc_len", "term").agg(F.count("*").alias("tf"))
+    chosen, votes = _documents(index, voters)
+    words = chosen.select("doc_ord", "doc_len", F.explode("terms").alias("term"))
+    counts = words.groupBy("doc_ord", "doc_len", "term").agg(F.count("*").alias("tf")).join(votes, "doc_ord")
     fresh = counts.join(terms.select("topic_id", "term"), ["topic_id", "term"], "left_anti")
     voted = fresh.groupBy("topic_id", "term").agg(F.sum(F.col("vote") * F.col("tf") / F.col("doc_len")).alias("vote"))
-    gained = voted.join(weighed(index, voted), "term").select("topic_id", "term", (F.col("vote") * F.col("idf")).alias("gain"))
+    n_docs, _ = index.totals()
+    gained = index.with_frequencies(voted).where(F.col("df") < n_docs).select("topic_id", "term", (F.col("vote") * idf(F.lit(n_docs), F.col("df"))).alias("gain"))
     order = Window.partitionBy("topic_id").orderBy(F.round("gain", 12).desc(), "term")
     best = gained.where("gain > 0").withColumn("place", F.row_number().over(order)).where(F.col("place") <= r.expansion_terms)
     total = F.sum("gain").over(Window.partitionBy("topic_id"))
@@ -83,16 +143,15 @@ def gated(topics: DataFrame, ranking: Ranking) -> DataFrame:
     return topics.where(F.size("words") <= ranking.max_query_terms).select("topic_id")
 
 
-def rank_feedback(index: Index, topics: DataFrame, ranking: Ranking = Ranking()) -> DataFrame:
+def rank_feedback(index: Index, topics: DataFrame, ranking: Ranking = Ranking(), terms: DataFrame | None = None) -> DataFrame:
     """BM25 plus expansion terms; or by those alone, where there are any."""
-    terms = query_terms(topics)
-    base = rank_bm25(index, terms, ranking).persist()
+    terms = listed(query_terms(topics)) if terms is None else terms
+    base = rank_bm25(index, terms, ranking)
     fed = base.join(gated(topics, ranking), "topic_id", "left_semi")
-    more = expansion_terms(index, terms, fed, ranking).persist()  # expansion_terms a topic at most
-    extra = rank_bm25(index, more, ranking)
+    more = listed(expansion_terms(index, terms, fed, ranking))  # expansion_terms a topic at most
     if ranking.expansion_only:
-        return extra.unionByName(base.join(more.select("topic_id").distinct(), "topic_id", "left_anti"))
-    return base.unionByName(extra).groupBy("topic_id", "doc_ord").agg(F.sum("score").alias("score"))
+        return rank_bm25(index, more, ranking).unionByName(base.join(more.select("topic_id").distinct(), "topic_id", "left_anti"))
+    return rank_bm25(index, terms.select("topic_id", "term", "weight").unionByName(more), ranking)
 
 
 def passage_scores(index: Index, terms: DataFrame, docs: DataFrame, ranking: Ranking = Ranking()) -> DataFrame:
@@ -104,9 +163,11 @@ def passage_scores(index: Index, terms: DataFrame, docs: DataFrame, ranking: Ran
     mean length.
     """
     window = ranking.rerank_window
-    gains = terms.join(weighed(index, terms), "term").select("topic_id", "term", (F.col("weight") * F.col("idf")).alias("gain"))
-    places = index.forward.select("doc_ord", "terms").join(docs.select("topic_id", "doc_ord"), "doc_ord").select("topic_id", "doc_ord", F.posexplode("terms").alias("pos", "term"))
-    hits = places.join(gains, ["topic_id", "term"])
+    known, names = gains(index, terms)
+    chosen, pairs = _documents(index, docs.select("topic_id", "doc_ord"))
+    places = chosen.select("doc_ord", F.posexplode("terms").alias("pos", "term"))
+    places = (places if names is None else places.where(F.col("term").isin(names))).join(pairs, "doc_ord")
+    hits = places.join(known.select("topic_id", "term", "gain") if names is None else F.broadcast(known.select("topic_id", "term", "gain")), ["topic_id", "term"])
     frame = Window.partitionBy("topic_id", "doc_ord").orderBy("pos").rangeBetween(-(window - 1), 0)
     seen = hits.withColumn("seen", F.sort_array(F.collect_list(F.struct("pos", "term", "gain")).over(frame))).where(F.size("seen") > 1)
 
@@ -132,7 +193,8 @@ def rerank_passages(index: Index, terms: DataFrame, scores: DataFrame, ranking:
     """
     if not (ranking.rerank_docs and ranking.rerank_window and ranking.rerank_weight):
         return top(scores, ranking.results)
-    placed = top(scores, max(ranking.results, ranking.rerank_docs)).withColumn("prefix", F.col("rank") <= ranking.rerank_docs).persist()  # that many rows a topic at most
+    placed = top(scores, max(ranking.results, ranking.rerank_docs)).withColumn("prefix", F.col("rank") <= ranking.rerank_docs)
+    placed = kept(placed)  # that many rows a topic at most
     passages = passage_scores(index, terms, placed.where(F.col("rank") <= ranking.rerank_docs), ranking)
     scored = placed.join(passages, ["topic_id", "doc_ord"], "left").withColumn("score", F.col("score") + F.when(F.col("prefix"), F.coalesce("passage", F.lit(0.0)) * ranking.rerank_weight).otherwise(0.0))
     order = Window.partitionBy("topic_id").orderBy(F.desc("prefix"), F.round("score", 9).desc(), F.desc("doc_ord"))
@@ -141,4 +203,5 @@ def rerank_passages(index: Index, terms: DataFrame, scores: DataFrame, ranking:
 
 def search(index: Index, topics: DataFrame, ranking: Ranking = Ranking()) -> DataFrame:
     """The default sparse query: feedback, passages, the first 1000."""
-    return rerank_passages(index, query_terms(topics), rank_feedback(index, topics, ranking), ranking)
+    terms = listed(query_terms(topics))
+    return rerank_passages(index, terms, rank_feedback(index, topics, ranking, terms), ranking)

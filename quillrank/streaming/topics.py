@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import Ranking
 from ..functions.text import topic_id, topic_words
 from ..operators.index import Index
-from ..operators.sparse import search
+from ..operators.sparse import release, search
 
 
 def answer_stream(lines: DataFrame, index: Index, out: str, checkpoint: str, ranking: Ranking = Ranking()) -> StreamingQuery:
@@ -23,5 +23,6 @@ def answer_stream(lines: DataFrame, index: Index, out: str, checkpoint: str, ran
 
     def answer(batch: DataFrame, number: int) -> None:
         search(index, batch, ranking).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        release()
 
     return parsed.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
