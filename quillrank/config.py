@@ -74,12 +74,15 @@ class Models:
         _require(self.duo_docs <= self.mono_docs, "duo_docs must not exceed mono_docs")
 
 
-def settings(*files: str) -> dict[str, str]:
-    """``KEY=value`` lines of the files; the process environment, then the first file wins."""
+def settings(*files: str, names: tuple[str, ...] = ()) -> dict[str, str]:
+    """``KEY=value`` lines of the files; the process environment, then the first file wins.
+
+    Settings in ``names`` are also taken from the environment alone.
+    """
     found: dict[str, str] = {}
     for name in files:
         for line in Path(name).read_text().splitlines() if Path(name).exists() else []:
             key, equals, value = line.strip().removeprefix("export ").partition("=")
             if equals and not key.startswith("#"):
                 found.setdefault(key.strip(), value.strip().strip("\"'"))
-    return found | {k: v for k, v in os.environ.items() if k in found}
+    return found | {k: v for k, v in os.environ.items() if k in found or k in names}

@@ -74,3 +74,10 @@ def topic_words(line: Column) -> Column:
     parts = whitespace_parts(line)
     led = F.coalesce(F.get(parts, F.lit(0)).rlike(r"^[+-]?[0-9]{1,18}$"), F.lit(False))
     return F.transform(F.when(led, F.slice(parts, 2, 1_000_000)).otherwise(parts), normalise)
+
+
+def topic_text(line: Column) -> Column:
+    """A topic line without its leading id, its words as written; empty if the id is all there is."""
+    parts = whitespace_parts(line)
+    led = F.coalesce(F.get(parts, F.lit(0)).rlike(r"^[+-]?[0-9]{1,18}$"), F.lit(False))
+    return F.array_join(F.when(led, F.slice(parts, 2, 1_000_000)).otherwise(parts), " ")

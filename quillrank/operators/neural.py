@@ -6,12 +6,14 @@ hash of their request in an ordinary table, so a rerun calls for misses only.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import Models
 from ..functions.text import model_terms, token_estimate, whitespace_parts
 
 # Dollars per million input and output tokens.
@@ -95,6 +97,115 @@ def answered(requests: DataFrame, cache: DataFrame, model: Callable[[list[str]],
     return hits.unionByName(misses.join(fresh, "key"))
 
 
+class Retryable(Exception):
+    """A model's failure with a ``code``; those in ``RETRYABLE`` may pass."""
+
+    def __init__(self, code: int, text: str = ""):
+        super().__init__(f"{code}: {text}")
+        self.code, self.text = code, text
+
+
+# Codes that are tried again, as is a 400 about unparsed JSON.
+RETRYABLE = (408, 409, 429, 500, 502, 503, 504)
+UNPARSED = "could not parse the JSON"
+
+
+def patient(model: Callable[[list[str]], list], tries: int = 5, wait: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[list[str]], list]:
+    """``model`` called up to ``tries`` times, waiting twice as long each time."""
+
+    def call(texts: list[str]) -> list:
+        for k in range(tries):
+            try:
+                return model(texts)
+            except Retryable as error:
+                passing = error.code in RETRYABLE or (error.code == 400 and UNPARSED.lower() in error.text.lower())
+                if not passing or k == tries - 1:
+                    raise
+                sleep(wait * 2**k)
+        raise ValueError("tries must be positive")
+
+    return call
+
+
+def in_input_order(indexed: list[tuple[int, object]], n: int) -> list:
+    """Answers that carry their input's number, in the inputs' order; raises if one lacks."""
+    found = dict(indexed)
+    if set(found) != set(range(n)):
+        raise ValueError("the model did not answer every input")
+    return [found[i] for i in range(n)]
+
+
+def scoring_requests(run: DataFrame, topics: DataFrame, texts: DataFrame, model: str, docs: int = 85) -> DataFrame:
+    """``topic_id, doc_no, key, prompt`` for a run's first ``docs``.
+
+    ``topics(topic_id, text)``: a missing text becomes the topic's id;
+    ``texts(doc_no, doc_text)``: a missing one becomes empty.
+    """
+    asked = _described(run.where(F.col("rank") <= docs).select("topic_id", "doc_no"), topics, texts, ["doc_no"])
+    prompt = F.concat(F.lit("How relevant is the passage to the query? Answer with JSON {\"score\": 0 to 100}.\nQuery: "), F.col("query"), F.lit("\nPassage: "), F.col("doc_no_text"))
+    return asked.withColumn("prompt", prompt).withColumn("key", request_key(F.lit(model), F.lit("score"), F.col("prompt"))).select("topic_id", "doc_no", "key", "prompt")
+
+
+def comparing_requests(run: DataFrame, topics: DataFrame, texts: DataFrame, model: str, docs: int = 10) -> DataFrame:
+    """``topic_id, doc_a, doc_b, key, prompt`` for each pair of a run's first ``docs``."""
+    asked = _described(pairs_to_compare(run, docs), topics, texts, ["doc_a", "doc_b"])
+    prompt = F.concat(F.lit("Which passage answers the query better? Answer with JSON {\"winner\": \"A\" or \"B\"}.\nQuery: "), F.col("query"), F.lit("\nA: "), F.col("doc_a_text"), F.lit("\nB: "), F.col("doc_b_text"))
+    return asked.withColumn("prompt", prompt).withColumn("key", request_key(F.lit(model), F.lit("compare"), F.col("prompt"))).select("topic_id", "doc_a", "doc_b", "key", "prompt")
+
+
+def _described(pairs: DataFrame, topics: DataFrame, texts: DataFrame, names: list[str]) -> DataFrame:
+    out = pairs.join(topics.select("topic_id", F.col("text").alias("query")), "topic_id", "left").withColumn("query", F.coalesce(F.when(F.col("query") != "", F.col("query")), F.col("topic_id")))
+    for name in names:
+        told = texts.select(F.col("doc_no").alias(name), F.col("doc_text").alias(f"{name}_text"))
+        out = out.join(told, name, "left").withColumn(f"{name}_text", F.coalesce(f"{name}_text", F.lit("")))
+    return out
+
+
+def scored(requests: DataFrame, cache: DataFrame, model: Callable[[list[str]], list[str]] | None) -> DataFrame:
+    """``topic_id, doc_no, llm_score`` (0 where the answer holds none), through the cache."""
+    got = answered(requests, cache, model)
+    return got.select("topic_id", "doc_no", F.coalesce(parsed_score(response_text(F.col("response"))), F.lit(0)).alias("llm_score"))
+
+
+def judged(requests: DataFrame, cache: DataFrame, model: Callable[[list[str]], list[str]] | None) -> DataFrame:
+    """``topic_id, doc_a, doc_b, winner`` (A where the answer names none), through the cache."""
+    got = answered(requests, cache, model)
+    return got.select("topic_id", "doc_a", "doc_b", F.coalesce(parsed_winner(response_text(F.col("response"))), F.lit("A")).alias("winner"))
+
+
+def rerank(run: DataFrame, topics: DataFrame, texts: DataFrame, cache: DataFrame, model: Callable[[list[str]], list[str]] | None, limits: Models = Models(), name: str = "gpt-5-mini") -> DataFrame:
+    """A run reranked by scores and, in mode ``mono_duo``, by pairwise wins."""
+    if limits.mode == "off":
+        return run
+    mono = mono_rerank(run, scored(scoring_requests(run, topics, texts, name, limits.mono_docs), cache, model), limits.mono_docs)
+    if limits.mode == "mono":
+        return mono
+    return duo_rerank(mono, judged(comparing_requests(mono, topics, texts, name, limits.duo_docs), cache, model), limits.duo_docs)
+
+
+def rewriting_requests(topics: DataFrame, model: str, most: int = 3) -> DataFrame:
+    """``topic_id, key, prompt`` of the topics that may be rewritten."""
+    prompt = F.concat(F.lit("Expand this short search query with a few closely related terms. Answer with the terms only.\nQuery: "), F.col("text"))
+    asked = topics.where(eligible(F.col("text"), most)).withColumn("prompt", prompt)
+    return asked.select("topic_id", request_key(F.lit(model), F.lit("rewrite"), F.col("prompt")).alias("key"), "prompt")
+
+
+def rewritten(topics: DataFrame, cache: DataFrame, model: Callable[[list[str]], list[str]] | None, name: str = "gpt-5-mini", query_terms: int = 3, output_terms: int = 8) -> DataFrame:
+    """``topic_id, text`` of the topics that a model rewrites, through the cache."""
+    got = answered(rewriting_requests(topics, name, query_terms), cache, model)
+    return rewritten_topics(topics, got.select("topic_id", response_text(F.col("response")).alias("answer")), query_terms, output_terms)
+
+
+def checked_vectors(vectors: DataFrame, docs: DataFrame, dimensions: int) -> DataFrame:
+    """``vectors(doc_ord, embedding)``; raises unless each of ``docs(doc_ord)`` has one of that length."""
+    wrong = vectors.where(F.col("embedding").isNull() | (F.size("embedding") != dimensions)).count()
+    lacking = docs.select("doc_ord").join(vectors.select("doc_ord"), "doc_ord", "left_anti").count()
+    beyond = vectors.count() - docs.count() + lacking
+    if wrong or lacking or beyond:
+        raise ValueError(f"vectors: {wrong} of another length than {dimensions}, {lacking} documents without one, {beyond} beyond the documents")
+    return vectors
+
+
 def embedded(texts: DataFrame, model: Callable[[list[str]], list[list[float]]], batch: int = 64) -> DataFrame:
     """``doc_ord``, ``embedding`` (unit length; zeros for an empty text) of ``texts(doc_ord, doc_text)``."""
 
@@ -155,9 +266,12 @@ def _final(run: DataFrame, order: list[Column]) -> DataFrame:
     return ranked.withColumn("final_score", (F.count("*").over(Window.partitionBy("topic_id")) - F.col("rank") + 1).cast("double"))
 
 
-def usage(requests: DataFrame, model: str) -> DataFrame:
-    """One row: calls, hits, misses, estimated tokens and cost of ``requests(prompt, response, hit)``."""
-    price_in, price_out = PRICES.get(model, (0.0, 0.0))
+def usage(requests: DataFrame, model: str, duo_model: str | None = None) -> DataFrame:
+    """One row: calls, hits, misses, estimated tokens and cost of ``requests(prompt, response, hit)``.
+
+    With a pairwise model that differs from ``model`` no one price holds and the cost is 0.
+    """
+    price_in, price_out = PRICES.get(model, (0.0, 0.0)) if duo_model in (None, model) else (0.0, 0.0)
     totals = requests.agg(
         F.count("*").alias("calls"), F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"),
         F.coalesce(F.sum(token_estimate(F.col("prompt"))), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum(token_estimate(F.col("response"))), F.lit(0)).alias("output_tokens"),

@@ -119,3 +119,28 @@ def spliced(document: str, table: str, marker: str) -> str:
     if start not in document or end not in document:
         raise ValueError(f"no {marker} markers")
     return document[: document.index(start) + len(start)] + "\n" + table + "\n" + document[document.index(end) :]
+
+
+def under_roots(spark: SparkSession, *roots: str) -> DataFrame:
+    """Artifacts below several roots; a branch under two of them counts once, by its newest file."""
+    out = read_artifacts(spark, roots[0])
+    for root in roots[1:]:
+        out = out.unionByName(read_artifacts(spark, root))
+    return latest(out)
+
+
+def headline(report: DataFrame) -> str:
+    """One line: the best branch by map, its value and change, and how many branches there are."""
+    best = report.orderBy(F.desc_nulls_last("map"), "branch").first()
+    if best is None or best["map"] is None:
+        return "no measured branches"
+    change = best["map_change_percent"]
+    told = "" if change is None else f" ({change:+.2f} % against the original)"
+    return f"best of {report.count()} branches: {best['branch']}, map {best['map']:.4f}{told}"
+
+
+def dashboard(spark: SparkSession, roots: list[str], document: str, issues: DataFrame | None = None, marker: str = "metrics") -> str:
+    """``document`` with the newest measures of all branches and their headline between its markers."""
+    told = branch_report(wide(under_roots(spark, *roots)), issues)
+    columns = ["branch", "map", "map_delta_vs_previous", "map_delta_vs_original", "map_change_percent", "recall", *(["decision"] if issues is not None else [])]
+    return spliced(document, headline(told) + "\n\n" + markdown(told.orderBy("place"), columns), marker)

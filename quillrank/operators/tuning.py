@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import RRF_K, Ranking
 from ..functions.scoring import bm25
+from . import evaluate
 from .index import Index
 from .sparse import matches, passage_scores, top
 
@@ -70,6 +71,32 @@ def fusion_grid(runs: list[DataFrame], cells: DataFrame, depth: int = 250, k: in
     return scored.withColumn("rank", F.row_number().over(order)).select("w1", "w2", "w3", "topic_id", "doc_no", "score", "rank")
 
 
+def fused_sweep(runs: list[DataFrame], qrels: DataFrame, cells: DataFrame, depth: int = 250, k: int = RRF_K) -> tuple[DataFrame, DataFrame]:
+    """Whole runs under every weight cell, tails completed, and their measures by cell.
+
+    Sources are ranked once; the tail is every other listed document, sources
+    in turn, and does not depend on the weights.
+    """
+    keys = ["w1", "w2", "w3"]
+    fused = fusion_grid(runs, cells, depth, k)
+    listed = reduce(DataFrame.unionByName, [r.select("topic_id", "doc_no", "rank", F.lit(i).alias("place")) for i, r in enumerate(runs)])
+    first = listed.groupBy("topic_id", "doc_no").agg(F.min(F.struct("place", "rank")).alias("at"), F.min("rank").alias("best"))
+    rest = first.where(F.col("best") > depth)
+    tail = rest.withColumn("i", F.row_number().over(Window.partitionBy("topic_id").orderBy("at", "doc_no"))).select("topic_id", "doc_no", "i")
+    floor = fused.groupBy(*keys, "topic_id").agg(F.min_by("score", -F.col("rank")).alias("floor"), F.max("rank").alias("n"))
+    more = floor.join(tail, "topic_id").select(*keys, "topic_id", "doc_no", (F.col("floor") - F.col("i") * 1e-9).alias("score"), (F.col("n") + F.col("i")).alias("rank"))
+    whole = fused.unionByName(more)
+    return whole, evaluate.overall(evaluate.per_topic(whole.select(*keys, "topic_id", "doc_no", "score"), qrels, keys), keys)
+
+
+def best_runs(runs: DataFrame, summary: DataFrame, best: int = 5, keys: tuple[str, ...] = ("w1", "w2", "w3")) -> DataFrame:
+    """The runs of the ``best`` cells, with their ``place`` from 1."""
+    spark = runs.sparkSession
+    first = ranked_cells(summary).limit(best).select(*keys).collect()
+    places = spark.createDataFrame([(*r, i + 1) for i, r in enumerate(first)], ", ".join([*(f"{k} double" for k in keys), "place int"]))
+    return runs.join(F.broadcast(places), list(keys))
+
+
 def ranked_cells(summary: DataFrame, tie: str = "recip_rank", ascending: bool = False) -> DataFrame:
     """Cells by map, Rprec, P_10, bpref, then ``tie``, best first."""
     keys = [F.desc(c) for c in ("map", "Rprec", "P_10", "bpref")]

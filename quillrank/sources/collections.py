@@ -32,15 +32,19 @@ def read_collection(spark: SparkSession, path: str) -> DataFrame:
     """``doc_ord, doc_no, text`` of all ``<DOC>`` records of the files below ``path``.
 
     A record runs from one ``<DOC>`` to the next; what a file holds before its
-    first is dropped. Ordinals count from 0 over files in path order.
+    first is dropped. Ordinals count from 0 over files in path order. Large
+    files are split between records; a split's records are numbered where they
+    are read and shifted by a table of one row per split.
     """
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "<DOC>", -1)).alias("n", "text"))
-    records = files.where("n > 0")
-    counts = records.groupBy("path").agg(F.count("*").alias("docs"))
-    before = counts.withColumn("before", F.coalesce(F.sum("docs").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = records.join(before.select("path", "before"), "path")
-    key = F.regexp_extract("text", r"<DOCNO>\s*([A-Za-z0-9][A-Za-z0-9-]*)", 1)
-    return placed.select((F.col("before") + F.col("n") - 1).alias("doc_ord"), key.alias("doc_no"), "text")
+    raw = spark.read.option("recursiveFileLookup", "true").option("lineSep", "<DOC>").text(path)
+    lines = raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("path", "start").agg(F.min("id").alias("first"), F.count("*").alias("lines"))
+    splits = splits.withColumn("lead", (F.col("start") == 0).cast("int"))  # the text before a file's first record
+    before = F.coalesce(F.sum(F.col("lines") - F.col("lead")).over(Window.orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.join(splits.withColumn("before", before).select("path", "start", "first", "lead", "before"), ["path", "start"])
+    records = placed.withColumn("n", F.col("id") - F.col("first") - F.col("lead")).where("n >= 0")
+    key = F.regexp_extract("value", r"<DOCNO>\s*([A-Za-z0-9][A-Za-z0-9-]*)", 1)
+    return records.select((F.col("before") + F.col("n")).alias("doc_ord"), key.alias("doc_no"), F.col("value").alias("text"))
 
 
 def _tag(fields: Fields):

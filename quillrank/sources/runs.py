@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import topic_id, topic_words, whitespace_parts
+from ..functions.text import topic_id, topic_text, topic_words, whitespace_parts
 
 
 def read_topics(spark: SparkSession, path: str) -> DataFrame:
-    """``topic_id, text, words, line_no``: a leading integer is the id, else the line's number; blank lines are skipped."""
+    """``topic_id, text, words, line_no``; blank lines are skipped.
+
+    A leading integer is the id, else the line's number; ``text`` is the rest of the line.
+    """
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
     numbered = lines.where(F.trim("text") != "").withColumn("line_no", F.col("line").cast("long") + 1)
-    return numbered.select(topic_id(F.col("text"), F.col("line_no")).alias("topic_id"), "text", topic_words(F.col("text")).alias("words"), "line_no")
+    return numbered.select(topic_id(F.col("text"), F.col("line_no")).alias("topic_id"), topic_text(F.col("text")).alias("text"), topic_words(F.col("text")).alias("words"), "line_no")
+
+
+def dense_texts(topics: DataFrame) -> DataFrame:
+    """``topic_id, text`` to embed; a topic that is an id alone is asked by its id."""
+    return topics.select("topic_id", F.when(F.col("text") == "", F.col("topic_id")).otherwise(F.col("text")).alias("text"))
 
 
 def latest_topics(topics: DataFrame) -> DataFrame:
@@ -44,3 +52,14 @@ def write_run(run: DataFrame, path: str, tag: str = "quillrank", decimals: int =
 def printed(run: DataFrame, decimals: int = 4) -> DataFrame:
     """Scores as a run file shows them, which is what an evaluation sees."""
     return run.withColumn("score", F.format_string(f"%.{decimals}f", "score").cast("double"))
+
+
+def write_tsv(rows: DataFrame, path: str) -> None:
+    """One header line and tab-separated rows, in one file, in the rows' order."""
+    rows.coalesce(1).write.option("sep", "\t").option("header", True).option("emptyValue", "").csv(path)
+
+
+def write_metadata(spark: SparkSession, path: str, values: dict[str, object]) -> None:
+    """``KEY: value`` lines in the given order."""
+    lines = [(i, f"{k}: {v}") for i, (k, v) in enumerate(values.items())]
+    spark.createDataFrame(lines, "n int, value string").coalesce(1).sortWithinPartitions("n").select("value").write.text(path)

@@ -112,3 +112,23 @@ def test_settings(tmp_path, monkeypatch):
         Ranking(k1=-1)
     with pytest.raises(ValueError):
         Models(duo_docs=100)
+
+
+def test_hybrid_pipeline(spark, index):
+    """The richest fusion of what is given, by hand from its sources' runs."""
+    from quillrank.config import SOURCES
+    from quillrank.plans.pipeline import hybrid, source_runs
+
+    asked = topics(spark, "ten nine", "one")
+    runs = source_runs(index, asked)
+    want = fusion.fuse_with_tail(runs, [s for s in SOURCES if s.label in runs])
+    rows = lambda df: sorted((r["topic_id"], r["rank"], r["doc_no"], round(r["score"], 10)) for r in df.collect())
+    assert set(runs) == {"bm25", "rm3", "rm3exp"} and rows(hybrid(index, asked)) == rows(want)
+    vectors = spark.createDataFrame([(i, [float(i == 3), float(i != 3)]) for i in range(11)], "doc_ord long, embedding array<float>")
+    queries = spark.createDataFrame([("0", [1.0, 0.0]), ("1", [0.0, 1.0])], "topic_id string, embedding array<float>")
+    again = spark.createDataFrame([("1", ["one", "two"])], "topic_id string, words array<string>")
+    whole = hybrid(index, asked, rewritten=again, vectors=vectors, asked=queries, rerank=lambda run: run.where("rank <= 3"))
+    got = {(r["topic_id"], r["rank"]): r["doc_no"] for r in whole.collect()}
+    assert got["1", 1] == "10" and len(got) == 6
+    made = fusion.ablations(source_runs(index, asked, rewritten=again, vectors=vectors, asked=queries), list(SOURCES))
+    assert set(made) == {*fusion.ABLATIONS, "bm25"} and fusion.richest(made) == "all"
