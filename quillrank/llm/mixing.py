@@ -70,6 +70,11 @@ def _with_sources(rows: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
     return rows.join(F.broadcast(keyed) if few else keyed, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
 
 
+def _together(sources: DataFrame, few: bool) -> DataFrame:
+    """A bounded table of sources in a few files."""
+    return sources.coalesce(4) if few else sources
+
+
 def rate_of(tilt: Column, size: Column, cap: float) -> Column:
     return F.exp(F.least(tilt * size, F.lit(math.log(cap))))
 
@@ -85,8 +90,8 @@ def tilts(cells: DataFrame, sources: DataFrame, cap: float, few: bool) -> DataFr
     capped = F.col("target") >= F.col("source_size") * (cap * (1 - 1e-12))
     start = sources.withColumn("low", lowest).withColumn("high", F.when(F.col("target") > F.col("source_size"), top).otherwise(0.0))
     state = stored(start.withColumn("tilt", F.when(capped, top).otherwise(0.0)).withColumn("settled", capped | (F.col("source_size") == 0)), "tilts")
-    for _ in range(NEWTON_STEPS):
-        if not state.where("not settled").limit(1).count():
+    for k in range(NEWTON_STEPS):
+        if k % 3 == 0 and not state.where("not settled").limit(1).count():
             break
         open_ = state.where("not settled").select("source", F.col("tilt").alias("__tilt"))
         at = _with_sources(cells, open_, few).where("__tilt is not null")
@@ -100,8 +105,9 @@ def tilts(cells: DataFrame, sources: DataFrame, cap: float, few: bool) -> DataFr
         inside = (F.col("__newton") > F.col("__low")) & (F.col("__newton") < F.col("__high"))
         met = (F.abs(above) <= NEWTON_ERROR * F.col("target")) | (F.col("__high") <= F.col("__low"))
         step = F.when(met, F.col("tilt")).when(inside, F.col("__newton")).otherwise((F.col("__low") + F.col("__high")) / 2)
-        fresh = now.select("source", "source_size", "target", F.col("__low").alias("low"), F.col("__high").alias("high"), step.alias("tilt"), met.alias("settled"))
-        state = stored(fresh.where("words is not null").unionByName(now.where("words is null").select(state.columns)), "tilts")
+        open_now = F.col("words").isNotNull()
+        fresh = [F.when(open_now, x).otherwise(F.col(name)).alias(name) for name, x in (("low", F.col("__low")), ("high", F.col("__high")), ("tilt", step), ("settled", met))]
+        state = stored(_together(now.select("source", "source_size", "target", *fresh), few), "tilts")
     return state.select("source", "source_size", "target", "tilt")
 
 
@@ -113,7 +119,7 @@ def _cuts(units: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
     """
     whole = units.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("whole"))
     state = _with_sources(plan, whole, few).withColumn("lack", F.col("target") - F.col("whole")).drop("whole")
-    state = stored(state.withColumn("cut", F.lit(0.0)).withColumn("before", F.lit(0).cast("long")), "cuts")
+    state = stored(_together(state.withColumn("cut", F.lit(0.0)).withColumn("before", F.lit(0).cast("long")), few), "cuts")
     width = WIDEST
     for _ in range(REFINED):
         width /= STEPS
@@ -130,7 +136,7 @@ def _cuts(units: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
         reached = F.aggregate(F.coalesce("steps", F.array().cast("array<struct<step:int,words:bigint>>")), begin, take)
         now = _with_sources(state, listed, few).withColumn("__at", reached)
         cut = F.col("cut") + F.when(F.col("__at.full"), F.col("__at.step")).otherwise(STEPS) * F.lit(width)
-        state = stored(now.withColumn("cut", cut).withColumn("before", F.col("__at.words")).select(state.columns), "cuts")
+        state = stored(_together(now.withColumn("cut", cut).withColumn("before", F.col("__at.words")).select(state.columns), few), "cuts")
     return state.drop("before", "lack")
 
 
@@ -173,22 +179,23 @@ def planned(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     cells = stored(units.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
     sized = stored(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), "sources")
     few = sized.count() <= BROADCAST_SOURCES
+    sized = _together(sized, few)
     turns = ranked(sized, [F.asc_nulls_last("source")], "__turn")
     weighed = turns.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("__turn") % len(weights) + 1).cast("int")))
-    levelled = stored(water_level(stored(weighed.drop("__turn"), "weights"), share, cap).drop("weight"), "targets")
+    levelled = stored(_together(water_level(stored(_together(weighed.drop("__turn"), few), "weights"), share, cap).drop("weight"), few), "targets")
     tilted = stored(tilts(cells, levelled, cap, few), "tilted")
     rated = stored(_rounded(_with_sources(units, tilted, few), cap).select("doc_id", "h", "copy", "source", "size", "whole", "turn"), "rates")
     cut = _cuts(rated, tilted, few)
 
     taken = _with_sources(rated, cut.select("source", "cut", "target"), few).withColumn("taken", F.col("whole") + F.coalesce(F.col("turn") < F.col("cut"), F.lit(False)).cast("int"))
     rest = taken.groupBy("source").agg((F.max("target") - F.sum(F.col("taken") * F.col("size"))).alias("rest"))
-    rested = _with_sources(taken, stored(rest, "rest"), few)
+    rested = _with_sources(taken, stored(_together(rest, few), "rest"), few)
     more, less = (F.col("rest") > 0) & (F.col("taken") + 1 <= cap), (F.col("rest") < 0) & (F.col("taken") > 0)
     gap = F.abs(F.abs("rest") - F.col("size"))
     closing = rested.where((more | less) & (gap < F.abs("rest"))).groupBy("source")
     closing = closing.agg(F.min(F.struct(gap.alias("gap"), "doc_id", "h", "copy", F.signum("rest").cast("int").alias("step"))).alias("best"))
     closing = closing.select("source", F.struct("best.doc_id", "best.h", "best.copy").alias("closer"), F.col("best.step").alias("step"))
-    return Mix(units, stored(_with_sources(cut, closing, few), "plan"), few, cap)
+    return Mix(units, stored(_together(_with_sources(cut, closing, few), few), "plan"), few, cap)
 
 
 def entropy_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:

@@ -165,8 +165,21 @@ def _possible(n: Column, m: Column, n_b: Column, m_b: Column, percent: int) -> C
     return most * 100 >= percent * (n + n_b - most)
 
 
-def _settled(rest: DataFrame, links: DataFrame, texts: DataFrame, sketches: DataFrame, n: int, percent: int) -> DataFrame:
-    """All links that matter within the open keys, found by rounds of pivots.
+def _joined(found: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``found(node, component)`` with ``links(u, v)`` added, and ``(from, root)`` of the components that they join.
+
+    Only links between components are followed, so the work is that of the new links.
+    """
+    of_u, of_v = (found.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
+    between = links.join(of_u, "u", "left").join(of_v, "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    roots = stored(connected(between).select(F.col("node").alias("from"), F.col("component").alias("root")), "roots")
+    old = found.join(roots, F.col("component") == F.col("from"), "left").select("node", F.coalesce("root", "component").alias("component"))
+    fresh = roots.join(found, F.col("from") == F.col("node"), "left_anti").select(F.col("from").alias("node"), F.col("root").alias("component"))
+    return stored(old.unionByName(fresh), "components"), roots
+
+
+def _settled(rest: DataFrame, found: DataFrame, texts: DataFrame, sketches: DataFrame, n: int, percent: int) -> DataFrame:
+    """``found(node, component)`` joined further by the links within the open keys.
 
     ``rest(key, rep, component, size, done)``; ``done`` marks members that were
     compared with their whole key. In each round the members of a key that may
@@ -185,9 +198,8 @@ def _settled(rest: DataFrame, links: DataFrame, texts: DataFrame, sketches: Data
     pivots, total = 1, state.count()
     while True:
         if new.limit(1).count():
-            links = stored(links.union(new), "links")
-            now = connected(links)
-            state = state.drop("component").join(now.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+            found, roots = _joined(found, new)
+            state = state.join(roots, F.col("component") == F.col("from"), "left").withColumn("component", F.coalesce("root", "component")).drop("from", "root")
         sized = stored(state.withColumn("grade", F.floor(F.log(F.col("n")) / math.log(1.05))), "open")
         grades = sized.groupBy("key", "size", "grade").agg(F.min("n").alias("n"), F.max("m").alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
         parts = grades.groupBy("key", "size").agg(F.collect_list(F.struct("n", "m", "low", "high")).alias("parts"))  # grades of sizes: some hundreds at most
@@ -199,7 +211,7 @@ def _settled(rest: DataFrame, links: DataFrame, texts: DataFrame, sketches: Data
         state = stored(join_facts(alive.drop("size"), mains, "key", "size", total), "open")
         total = state.count()
         if not total:
-            return links
+            return found
         away = F.lit(0) if pivots == 1 else (F.col("component") == F.col("main")).cast("int")
         order = Window.partitionBy("key").orderBy(away, (F.col("n") - F.col("m")) / F.col("n"), "rep")
         chosen = stored(state.where("alive").withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots).select("key", "size", "rep", "component", "n", "m"), "pivots")
@@ -252,7 +264,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     placed = stored(members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "members")
     open_keys = placed.groupBy("key", "size").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "size")
     rest = stored(join_facts(placed.drop("size"), open_keys, "key", "size", total).select("key", "size", "rep", "component", (F.col("rep") == F.col("pivot")).alias("done")), "rest")
-    final = connected(_settled(rest, links, texts, sketches, n, percent)).select(F.col("node").alias("rep"), "component")
+    final = _settled(rest, found, texts, sketches, n, percent).select(F.col("node").alias("rep"), "component")
 
     homes = classes.select("k0", "k1", "rep").join(final, "rep", "left").select("k0", "k1", F.coalesce("component", "rep").alias("home"))
     linked = rows.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "k0", "k1").join(homes, ["k0", "k1"])
