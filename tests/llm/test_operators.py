@@ -229,6 +229,31 @@ def test_exact_passage_beside_drifted_variants(spark):
     assert [k for k in range(150) if min(covered(rows, 5 * k + v, 60, 110) for v in (3, 4)) < 1] == []
 
 
+@pytest.mark.parametrize("period", [1, 2, 7, 30])
+def test_passages_in_periodic_runs(spark, period):
+    """Repeated words or lines, runs of unequal lengths, alone and as the beginning of a passage."""
+    w, p = words(period, "line"), words(40, "p")
+    ran = {1: 90, 2: 420, 3: 0, 4: 60, 5: 90}
+    texts = [(i, " ".join(words(60, f"l{i}") + (w * n)[:n] + (p if i > 3 else []) + words(60, f"r{i}"))) for i, n in ran.items()]
+    rows = passages_of(spark, texts)
+    # fewer open places than a shingle has are not looked at again
+    assert covered(rows, 1, 60, 150) > 0.95 and covered(rows, 2, 60, 480) > 0.95 and not rows[3]
+    assert covered(rows, 4, 60, 160) > 0.95 and covered(rows, 5, 90, 190) > 0.95
+    assert max(start + n for start, n in rows[2]) <= 495 and min(start for start, _ in rows[2]) >= 45
+
+
+def test_equal_centres_are_one_entry():
+    import numpy as np
+
+    centre = np.array([3, 4, 5, 7, 9, 11, 14, 17, 18])
+    key, text = np.array([1, 1, 2, 2, 2, 2, 2, 2, 2]), np.array([0, 0, 0, 0, 0, 0, 0, 0, 1])
+    sums = np.cumsum(np.concatenate([[0], [1, 2] * 12])).astype(np.uint64)
+    first, last, period = substring_dedup._equal_runs(centre, key, text, sums)
+    assert first.tolist() == [0, 2, 6, 7, 8] and last.tolist() == [1, 5, 6, 7, 8] and period.tolist() == [1, 2, 1, 1, 1]
+    none = np.empty(0, np.int64)
+    assert [len(x) for x in substring_dedup._equal_runs(none, none, none, sums)] == [0, 0, 0]
+
+
 def test_passages_of_repeated_ids(spark):
     p = words(60, "p")
     rows = [(1, " ".join(words(70, "a") + p)), (1, " ".join(words(70, "a") + p)), (1, " ".join(words(55, "b"))), (2, " ".join(p + words(20, "c"))), (None, " ".join(p))]
