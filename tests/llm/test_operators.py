@@ -114,6 +114,25 @@ def test_near_copies_in_one_large_bucket(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) > 3
 
 
+def test_near_copies_make_few_pairs(spark, monkeypatch):
+    """Members of one large bucket that cannot link are not laid over each other."""
+    base, rows = words(150, 31), []
+    for i in range(600):
+        rng = random.Random(i)
+        w = list(base)
+        for k in rng.sample(range(150), rng.randrange(4, 14)):
+            w[k] = rng.choice(["red", "blue", "green"])
+        rows.append((i, " ".join(w)))
+    made = []
+    for name in ("_alike", "_confirmed"):
+        step = getattr(near_dedup, name)
+        monkeypatch.setattr(near_dedup, name, lambda pairs, *more, step=step: made.append(pairs.count()) or step(pairs, *more))
+    want, _ = components(rows, 4)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), n=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) > 100
+    assert sum(made) < near_dedup.BANDS * len(rows)
+
+
 def test_recall_at_the_threshold(spark):
     """Pairs just at similarity 0.8: bands and sketches together lose none of 1500."""
     rows = []
