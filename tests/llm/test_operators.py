@@ -248,6 +248,22 @@ def test_exact_passage_beside_drifted_variants(spark):
     assert [k for k in range(150) if min(covered(rows, 5 * k + v, 60, 110) for v in (3, 4)) < 1] == []
 
 
+def test_near_passage_beside_drifted_variants(spark):
+    """Texts whose edited passage only resembles each other's, beside earlier texts with fragments of it."""
+    rows = []
+    for k in range(40):
+        base = words(70, f"n{k}")
+        for i in range(6):  # fragments of 40 words
+            rows.append((1000 * i + k, " ".join(words(30, f"a{k}x{i}") + base[5 * i : 5 * i + 40] + words(30, f"b{k}x{i}"))))
+        for i in (6, 7):
+            own = list(base)
+            own[35] = f"edit{i}"
+            rows.append((1000 * i + k, " ".join(words(30, f"a{k}x{i}") + own + words(30, f"b{k}x{i}"))))
+    rows = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["other_id"]) for r in substring_dedup.repeated_passages(rows).collect()}
+    assert all((7000 + k, 6000 + k) in got and (6000 + k, 7000 + k) in got for k in range(40))
+
+
 @pytest.mark.parametrize("period", [1, 2, 7, 30])
 def test_passages_in_periodic_runs(spark, period):
     """Repeated words or lines, runs of unequal lengths, alone and as the beginning of a passage."""
