@@ -8,6 +8,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +136,53 @@ def test_near_copies_make_few_pairs(spark, monkeypatch):
     assert sum(made) < near_dedup.BANDS * len(rows)
 
 
+def test_open_buckets_join_by_their_rarest_shingles_only(spark, monkeypatch):
+    """No join reads all shingles of the members of open buckets, whether or not one is very common."""
+    base, rows = words(600, 33), []
+    for i in range(200):
+        rng = random.Random(i)
+        w = list(base)
+        for k in rng.sample(range(600), rng.randrange(16, 56)):
+            w[k] = rng.choice(["red", "blue", "green"])
+        rows.append((i, " ".join(w)))
+    read, step = [], near_dedup.join_facts
+    monkeypatch.setattr(near_dedup, "join_facts", lambda rows, *more: read.append(rows.count()) or step(rows, *more))
+    want, sets = components(rows, 4)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), n=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) > 3
+    assert max(read) < sum(map(len, sets.values())) / 3
+
+
+@pytest.mark.parametrize("cells", [1, 1 << 6, 1 << 18])
+def test_rarest_shingles_meet_at_any_order(cells, monkeypatch):
+    """Sets at the similarity share a listed shingle whose place allows it, however coarse the counts."""
+    monkeypatch.setattr(near_dedup, "CELLS", cells)
+    monkeypatch.setattr(near_dedup, "CELL_BLOCK", min(cells, 1 << 4))
+    rng, sets = np.random.default_rng(5), []
+    for n in (1, 2, 4, 5, 10, 47, 100, 201):
+        for _ in range(6):
+            own = rng.integers(-(2**63), 2**63 - 1, n)
+            gone = rng.permutation(n)[: n // 9]
+            sets += [np.unique(own), np.unique(np.append(np.delete(own, gone), rng.integers(-(2**63), 2**63 - 1, len(gone))))]
+    ids = pa.array(range(len(sets)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(sets, pa.list_(pa.int64()))], names=["rep", "component", "shingles"])
+    half = len(sets) // 2
+    parts = pa.Table.from_batches([x for part in (batch.slice(0, half), batch.slice(half)) for x in near_dedup._tallied([part])])
+    tally = np.zeros((cells // near_dedup.CELL_BLOCK, near_dedup.CELL_BLOCK), np.int64)
+    for block in set(parts["block"].to_pylist()):
+        own = near_dedup._summed(parts.filter(pc.equal(parts["block"], block)))
+        tally[block] = np.frombuffer(own["tally"][0].as_py(), np.int64)
+    assert tally.sum() == sum(map(len, sets))
+    listed = {}
+    for part in near_dedup._rarest(tally.ravel(), 80)([batch]):
+        for row in part.to_pylist():
+            listed.setdefault(row["rep"], {})[row["s"]] = (row["left"], row["n"])
+    for i in range(0, len(sets), 2):
+        x, y, shared = listed.get(i, {}), listed.get(i + 1, {}), len(np.intersect1d(sets[i], sets[i + 1]))
+        assert 100 * shared >= 80 * (len(sets[i]) + len(sets[i + 1]) - shared)
+        assert any(180 * min(x[s][0], y[s][0]) >= 80 * (x[s][1] + y[s][1]) for s in x.keys() & y.keys())
+
+
 def test_recall_at_the_threshold(spark):
     """Pairs just at similarity 0.8: bands and sketches together lose none of 1500."""
     rows = []
