@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from quillrank.llm import decontamination, fingerprints, mixing, near_dedup, quality, sharding, substring_dedup, token_counts, toxicity, warc
+from quillrank.llm import decontamination, fingerprints, mixing, near_dedup, quality, sharding, skew, substring_dedup, token_counts, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, shard string, component_id string, kept int"
 
@@ -314,6 +314,35 @@ def test_near_passage_beside_drifted_variants(spark):
     assert all((7000 + k, 6000 + k) in got and (6000 + k, 7000 + k) in got for k in range(40))
 
 
+def test_pivots_that_are_broadcast_are_bounded(spark, monkeypatch):
+    """Texts that share a line of 44 words choose pivots in turns; near passages among them are found all the same."""
+    line, rows = words(44, "line"), []
+    for i in range(12):
+        base = words(40, f"t{i}")
+        for k in range(2):
+            own = list(base)
+            own[5] = f"edit{k}"
+            rows.append((12 * k + i, " ".join(line + own + words(30, f"t{i}x{k}"))))
+    rows = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    most, step = [], substring_dedup.join_facts
+
+    def counted(rows, facts, key, size, total):
+        if "theirs" in facts.columns and "bits" in str(facts.schema["theirs"]):
+            listed = facts.where(F.col(size) * skew.HOT > total).select(F.size("theirs").alias("n"), F.lit(1).alias("marks"))
+            most.append(listed.agg(F.sum("n"), F.count("marks")).first())
+        return step(rows, facts, key, size, total)
+
+    monkeypatch.setattr(substring_dedup, "join_facts", counted)
+    want = {tuple(r) for r in substring_dedup.repeated_passages(rows).collect()}
+    assert all((12 + i, i) in {(r[0], r[3]) for r in want} for i in range(12))
+    rounds = len(most)
+    monkeypatch.setattr(substring_dedup, "BROADCAST_PIVOTS", 100, raising=False)
+    got = {tuple(r) for r in substring_dedup.repeated_passages(rows).collect()}
+    assert {(r[0], r[3]) for r in got} == {(r[0], r[3]) for r in want}
+    assert any((n or 0) > max(100, marks) for n, marks in most[:rounds])
+    assert all((n or 0) <= max(100, marks) for n, marks in most[rounds:])
+
+
 @pytest.mark.parametrize("period", [1, 2, 7, 30])
 def test_passages_in_periodic_runs(spark, period):
     """Repeated words or lines, runs of unequal lengths, alone and as the beginning of a passage."""
