@@ -343,6 +343,63 @@ def test_pivots_that_are_broadcast_are_bounded(spark, monkeypatch):
     assert all((n or 0) <= max(100, marks) for n, marks in most[rounds:])
 
 
+def test_unexplained_members_meet_by_their_rarest_shingles_only(spark, monkeypatch):
+    """No join reads all shingles around the windows of texts that share a line; however they are counted, the same texts meet."""
+    line, rows = words(44, "line"), []
+    for i in range(12):
+        base = words(40, f"t{i}")
+        for k in range(2):
+            own = list(base)
+            own[5] = f"edit{k}"
+            rows.append((12 * k + i, " ".join(line + own + words(30, f"t{i}x{k}"))))
+    rows = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    around, read, step, keep = [], [], substring_dedup.join_facts, substring_dedup.stored
+
+    def kept(df, label):
+        if label == "around":
+            around.append(df.agg(F.sum(F.size("near"))).first()[0])
+        return keep(df, label)
+
+    def joined(rows, facts, key, *more):
+        if key == "mark":
+            read.append(rows.count())
+        return step(rows, facts, key, *more)
+
+    monkeypatch.setattr(substring_dedup, "stored", kept)
+    monkeypatch.setattr(substring_dedup, "join_facts", joined)
+    want = {(r[0], r[3]) for r in substring_dedup.repeated_passages(rows).collect()}
+    assert all((12 + i, i) in want for i in range(12)) and max(read) < around[0] / 2
+    read.clear()
+    monkeypatch.setattr(substring_dedup, "GROUP", 4, raising=False)
+    assert {(r[0], r[3]) for r in substring_dedup.repeated_passages(rows).collect()} == want
+    assert max(read) < around[1] / 2
+
+
+def test_windows_that_meet_no_other_are_not_moved(spark, monkeypatch):
+    shared = words(60, "same")
+    rows = [(i, " ".join(words(200, f"u{i}") + (shared if i < 2 else []))) for i in range(40)]
+    moved, step = [], substring_dedup.with_facts
+    monkeypatch.setattr(substring_dedup, "with_facts", lambda rows, facts, key, *more: (moved.append(rows.count()) if key == "key" else None) or step(rows, facts, key, *more))
+    got = passages_of(spark, rows)
+    assert covered(got, 0, 200, 260) == covered(got, 1, 200, 260) == 1
+    assert 0 < moved[0] < 40
+
+
+def test_keys_that_occur_again_keep_their_bit():
+    """In one part or in several, wherever in the range of keys."""
+    rng = np.random.default_rng(3)
+    once = rng.integers(0, 2**64, 20_000, np.uint64, endpoint=False)
+    again = np.append(rng.integers(0, 2**64, 500, np.uint64, endpoint=False), np.array([0, 2**64 - 1], np.uint64))
+    parts = [substring_dedup._packed(np.concatenate(x)) for x in ((once[:9000], again[:300], again[:300], again[:300]), (once[9000:], again[300:]), (again[300:],))]
+    parts = pa.Table.from_batches([*parts, substring_dedup._packed(np.empty(0, np.uint64))])
+    bits = np.zeros((substring_dedup.RANGES, substring_dedup.RANGE_BITS // 8), np.uint8)
+    for k in set(parts["range"].to_pylist()):
+        bits[k] = np.frombuffer(substring_dedup._again(parts.filter(pc.equal(parts["range"], k)))["bits"][0].as_py(), np.uint8)
+    bits = np.unpackbits(bits.ravel())
+    cell = lambda keys: (keys // np.uint64(2**64 // len(bits))).astype(np.int64)
+    assert bits[cell(again)].all() and bits.sum() <= len(again) and bits[cell(once)].sum() < 20
+
+
 @pytest.mark.parametrize("period", [1, 2, 7, 30])
 def test_passages_in_periodic_runs(spark, period):
     """Repeated words or lines, runs of unequal lengths, alone and as the beginning of a passage."""
