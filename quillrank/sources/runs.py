@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scoring import fixed
 from ..functions.text import topic_id, topic_text, topic_words, whitespace_parts
 
 
@@ -41,7 +42,7 @@ def read_run(spark: SparkSession, path: str) -> DataFrame:
 
 def run_lines(run: DataFrame, tag: str = "quillrank", decimals: int = 4) -> DataFrame:
     """``value``: the run's lines, scores at ``decimals`` places, topics by number, then rank."""
-    line = F.concat_ws(" ", "topic_id", F.lit("Q0"), "doc_no", F.col("rank").cast("string"), F.format_string(f"%.{decimals}f", "score"), F.lit(tag))
+    line = F.concat_ws(" ", "topic_id", F.lit("Q0"), "doc_no", F.col("rank").cast("string"), F.format_string(f"%.{decimals}f", fixed(F.col("score"), decimals)), F.lit(tag))
     return run.orderBy(F.expr("try_cast(topic_id as long)"), "topic_id", "rank").select(line.alias("value"))
 
 
@@ -51,7 +52,7 @@ def write_run(run: DataFrame, path: str, tag: str = "quillrank", decimals: int =
 
 def printed(run: DataFrame, decimals: int = 4) -> DataFrame:
     """Scores as a run file shows them, which is what an evaluation sees."""
-    return run.withColumn("score", F.format_string(f"%.{decimals}f", "score").cast("double"))
+    return run.withColumn("score", fixed(F.col("score").cast("double"), decimals))
 
 
 def write_tsv(rows: DataFrame, path: str) -> None:

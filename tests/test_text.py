@@ -50,3 +50,19 @@ def test_topic_lines(spark, line, want):
 
 def test_lexed_model_matches_pattern():
     assert lexed("a<b>c") == re.findall(r"<[^>\n]*>?|[A-Za-z0-9][A-Za-z0-9-]*", "a<b>c")
+
+
+def test_printed_as_sql_prints(spark):
+    """Scores at four places as C and DuckDB round them: by the binary value, exact ties to even."""
+    import random
+
+    import duckdb
+
+    from quillrank.sources.runs import printed
+
+    random.seed(1)
+    values = [0.00045, 0.00125, 0.00375, 0.01125, 0.03125, 0.09375, 0.15625, -0.00045, 0.0, 1e15 + 0.5, 123456.78905, 0.99995]
+    values += [round(random.random(), 5) for _ in range(3000)] + [w / 20 / (60 + r) for w in range(1, 19) for r in range(1, 251)]
+    got = [r[0] for r in printed(spark.createDataFrame([(v,) for v in values], "score double")).collect()]
+    told = duckdb.connect().execute("SELECT list_transform(?, lambda x: CAST(format('{:.4f}', x) AS DOUBLE))", [values]).fetchall()[0][0]
+    assert got == told == [float(f"{v:.4f}") for v in values]
