@@ -66,3 +66,42 @@ def test_printed_as_sql_prints(spark):
     got = [r[0] for r in printed(spark.createDataFrame([(v,) for v in values], "score double")).collect()]
     told = duckdb.connect().execute("SELECT list_transform(?, lambda x: CAST(format('{:.4f}', x) AS DOUBLE))", [values]).fetchall()[0][0]
     assert got == told == [float(f"{v:.4f}") for v in values]
+
+
+def test_scans_agree_with_expressions(spark):
+    """Terms, lengths, counts and postings by Python workers are those of the column expressions."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from quillrank.functions import scan
+    from quillrank.functions.text import body_terms
+    from quillrank.operators.index import index_plain
+
+    texts = ["Cities ties Glasses sses boxes axes Churches dishes quizzes bus gas News class analysis its", "a-b <b class='x'>AT&T</b> unclosed <i tag\nnext> ñandú es", "", None, "x" * 300 + "s", "A a aS <>"]
+    docs = spark.createDataFrame([(i, str(i), t) for i, t in enumerate(texts)], "doc_ord long, doc_no string, text string")
+    want = {r[0]: r[1] for r in docs.select("doc_ord", body_terms(F.col("text"))).collect()}
+    index = index_plain(docs)
+    assert {r["doc_ord"]: r["terms"] for r in index.forward.collect()} == want
+    assert {r["doc_ord"]: r["doc_len"] for r in index.lengths().collect()} == {k: len(v) for k, v in want.items()}
+    for distinct in (False, True):
+        assert {r["term"]: r["n"] for r in index.term_counts(distinct).collect()} == Counter(t for v in want.values() for t in (set(v) if distinct else v))
+    counts = Counter((t, k) for k, v in want.items() for t in v)
+    assert {(r["term"], r["doc_ord"]): (r["tf"], r["doc_len"]) for r in index.all_postings().collect()} == {k: (n, len(want[k[1]])) for k, n in counts.items()}
+    assert index.totals() == (len(texts), sum(map(len, want.values())) / len(texts))
+    assert scan.normalised("Boxes") == "box"
+
+
+def test_no_table_of_terms_is_shuffled_or_kept(spark):
+    """A ranking's plan scans texts: no explode of all terms, no cached term streams (both grew with the corpus)."""
+    from quillrank.operators import sparse
+    from quillrank.operators.index import index_plain
+
+    docs = spark.createDataFrame([(i, str(i), f"one two {'three ' * (i % 3)}w{i}") for i in range(50)], "doc_ord long, doc_no string, text string")
+    asked = spark.createDataFrame([("1", ["three", "two"])], "topic_id string, words array<string>")
+    index = index_plain(docs)
+    run = sparse.rank_feedback(index, asked, most=3)
+    plan = run._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan and "InMemory" not in plan
+    whole = {(r["topic_id"], r["doc_ord"]): r["rank"] for r in sparse.top(sparse.rank_feedback(index, asked), 3).collect()}
+    assert {(r["topic_id"], r["doc_ord"]): r["rank"] for r in sparse.top(run, 3).collect()} == whole and len(whole) == 3
