@@ -105,3 +105,32 @@ def test_no_table_of_terms_is_shuffled_or_kept(spark):
     assert "Exchange" not in plan and "Generate" not in plan and "InMemory" not in plan
     whole = {(r["topic_id"], r["doc_ord"]): r["rank"] for r in sparse.top(sparse.rank_feedback(index, asked), 3).collect()}
     assert {(r["topic_id"], r["doc_ord"]): r["rank"] for r in sparse.top(run, 3).collect()} == whole and len(whole) == 3
+
+
+def test_passages_are_found_wherever_they_lie(spark):
+    """Texts that contain a passage, against a plain search: at every offset, short ones, and over texts' edges."""
+    import pyarrow as pa
+
+    from quillrank.functions import scan
+
+    passages = [("a", "Ciónos dollga ñarie"), ("b", "12345678"), ("c", "kurz"), ("d", "Ciónos dollga other"), ("e", "ñ"), ("f", "12345678 and more")]
+    texts = ["." * i + p for i in range(17) for _, p in passages] + ["1234", "5678", "", None, "x12345678", "Ciónos dollga ", "ñarie"]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_no string, text string").coalesce(1)
+    got = {tuple(r) for r in docs.mapInArrow(scan.holding(passages, pa.string()), "topic_id string, doc_no string").collect()}
+    assert got == {(k, str(i)) for k, p in passages for i, t in enumerate(texts) if t is not None and p in t}
+
+
+def test_poor_documents_are_counted_not_listed(spark):
+    """Measures with ``poor`` equal those with every pair of a topic and a poor document listed, and each judgment counts once."""
+    from pyspark.sql import functions as F
+
+    from quillrank.operators import evaluate
+
+    run = spark.createDataFrame([(str(t), str(d), float(97 * d * (t + 1) % 31)) for t in range(4) for d in range(40)], "topic_id string, doc_no string, score double")
+    relevant = spark.createDataFrame([(str(t), str(d), 1) for t in range(3) for d in range(t, 60, 7)], "topic_id string, doc_no string, rel int")
+    poor = spark.createDataFrame([(str(d),) for d in range(0, 60, 3)], "doc_no string")
+    listed = poor.crossJoin(run.select("topic_id").distinct()).join(relevant, ["topic_id", "doc_no"], "left_anti").withColumn("rel", F.lit(0))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(evaluate.per_topic(run, relevant.unionByName(listed)))
+    assert len(want) == 3 and rows(evaluate.per_topic(run, relevant, poor=poor)) == want
+    assert rows(evaluate.per_topic(run, relevant.union(relevant), poor=poor)) == want
