@@ -94,6 +94,18 @@ def test_dense_forms_agree(spark):
     assert sorted(map(key, nearest(vectors, asked, 5, block=2).collect())) == sorted(map(key, nearest_native(vectors, asked, 5).collect()))
 
 
+def test_dense_sends_no_vectors_to_the_driver(spark):
+    """Query sets of many blocks: exact, with ties, none collected, and one scan of the vectors however many blocks."""
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(3000)], "doc_ord long, embedding array<float>")
+    asked = vectors.where("doc_ord < 90").select(F.col("doc_ord").cast("string").alias("topic_id"), "embedding")
+    made = nearest(vectors, asked, 20, block=8)
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 3
+    key = lambda r: (r["topic_id"], r["rank"], r["doc_ord"], round(r["score"], 6))
+    got = sorted(map(key, made.collect()))
+    assert len(got) == 1800 and got == sorted(map(key, nearest_native(vectors, asked, 20).collect()))
+    assert nearest(vectors, asked.limit(0), 20).count() == 0 and nearest(vectors.limit(0), asked, 20).count() == 0
+
+
 def test_grids(spark, index):
     assert tuning.simplex(spark).count() == 171
     with pytest.raises(ValueError):
